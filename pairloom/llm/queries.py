@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.core.staging import table
-from pairloom.llm import bpe_automaton, pairwise_ranking
+from pairloom.llm import bpe_automaton, leakage, pairwise_ranking, similarity_join
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,20 @@ def p1_strengths(spark: SparkSession, folder: str) -> DataFrame:
     return pairwise_ranking.ranking(table(spark, folder, "comparison_reviews"), table(spark, folder, "model_registry"))
 
 
+def _similar_answers(spark: SparkSession, folder: str) -> similarity_join.SimilarSets:
+    return similarity_join.similar_sets(similarity_join.answer_sets(table(spark, folder, "candidate_answers"), 3, 40), 0.6)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _similar_answers(spark, folder).pairs().select(F.col("a").alias("question_id_a"), F.col("b").alias("question_id_b"))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each answer with its class of exact copies and the number of classes linked to it, at the stricter default of five words and 0.8."""
+    sets = similarity_join.answer_sets(table(spark, folder, "candidate_answers"), 5, 5)
+    return similarity_join.similar_sets(sets, 0.8).classes().withColumnRenamed("id", "question_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_automaton.encode_table(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -30,11 +44,29 @@ def p6_token_totals(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", "source").join(counts, "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """For each leaked item the number of documents that hold it and the largest share of it that one holds."""
+    return p7_leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("coverage").alias("coverage"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_strengths": p1_strengths,
+    "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p6_ids": p6_ids,
     "p6_token_totals": p6_token_totals,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p7_items": p7_items,
 }
 
 SQL: dict[str, str] = {}
