@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.core.staging import table
-from pairloom.llm import bpe_automaton, leakage, pairwise_ranking, similarity_join
+from pairloom.llm import bpe_automaton, leakage, pair_defects, pairwise_ranking, similarity_join, truncation
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,30 @@ def p1_strengths(spark: SparkSession, folder: str) -> DataFrame:
     return pairwise_ranking.ranking(table(spark, folder, "comparison_reviews"), table(spark, folder, "model_registry"))
 
 
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "candidate_answers").where(F.col("question_id").isNotNull())
+    return rows.select(F.col("question_id").alias("id"), F.col("answer").alias("text"), truncation.source_key().alias("source")).dropDuplicates(["id"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_texts(_answers(spark, folder)).select(F.col("id").alias("question_id"))
+
+
+def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source the number of its answers, how many are cut, and the share."""
+    answers = _answers(spark, folder)
+    cut = truncation.cut_texts(answers).select("id", F.lit(1).alias("cut"))
+    return answers.select("id", "source").join(cut, "id", "left").groupBy("source").agg(F.count("*").alias("n_answers"), F.count("cut").alias("n_cut"), F.avg(F.coalesce("cut", F.lit(0))).alias("share_cut"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.defects(table(spark, folder, "preference_pairs"))
+
+
+def p4_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_found(spark, folder).groupBy("side", "defect").agg(F.count("*").alias("n"))
+
+
 def _similar_answers(spark: SparkSession, folder: str) -> similarity_join.SimilarSets:
     return similarity_join.similar_sets(similarity_join.answer_sets(table(spark, folder, "candidate_answers"), 3, 40), 0.6)
 
@@ -60,6 +84,10 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_strengths": p1_strengths,
+    "p3_found": p3_found,
+    "p3_sources": p3_sources,
+    "p4_found": p4_found,
+    "p4_totals": p4_totals,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p6_ids": p6_ids,
