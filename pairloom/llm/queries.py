@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.core.staging import table
-from pairloom.llm import bpe_automaton, leakage, pair_defects, pairwise_ranking, similarity_join, truncation
+from pairloom.llm import bpe_automaton, leakage, pair_defects, pairwise_ranking, reading_level, similarity_join, truncation
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,6 +81,20 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("coverage").alias("coverage"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_levels(spark, folder).select("doc_id", "level_no")
+
+
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_level.reading_levels(table(spark, folder, "documents"), table(spark, folder, "doc_grades"))
+
+
+def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each level in each source."""
+    levels = p8_found(spark, folder)
+    return table(spark, folder, "documents").select("doc_id", "source").join(levels, "doc_id").groupBy("source", "level_no").agg(F.count("*").alias("n_docs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_strengths": p1_strengths,
@@ -95,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
+    "p8_profile": p8_profile,
 }
 
 SQL: dict[str, str] = {}
