@@ -7,7 +7,7 @@
 3. Sets at least t similar share an element within their prefixes.  The inverted list of each
    prefix element is kept in blocks sorted by set size.  Pairs of blocks are skipped whole if
    their sizes, or the positions of the element in them, rule out an overlap large enough; the
-   pairs left are compared by 128-bit parity sketches, whose distance never exceeds that of the
+   pairs left are compared by 256-bit parity sketches, whose distance never exceeds that of the
    sets.  All three tests are safe: no similar pair is lost.
 4. Overlaps are counted exactly.  A set that differs little from a representative already compared
    (its anchor) takes the anchor's overlap, plus what it gained and minus what it lost.
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pairloom.core.staging import stage
 
 CELL_BITS = 20
+#: Columns of a posting: list, part, set, its size, the element's position, and the set's sketch.
+POSTING = ["list", "part", "id", "size", "pos", "s0", "s1", "s2", "s3"]
 _BLOCK = 256
 
 
@@ -38,14 +40,14 @@ def words(c: Column) -> Column:
 
 
 def word_runs(w: Column, size: int) -> Column:
-    """The distinct hashes of ``size`` consecutive words; empty for fewer words."""
+    """The distinct hashes of ``size`` consecutive words; empty for fewer words.  ``w`` should be a plain column."""
     places = F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
     runs = F.transform(places, lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(size)]))
     return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _postings(reps: DataFrame, counts: np.ndarray, threshold: float, list_size: int) -> DataFrame:
-    """(list, part, id, size, pos, s0, s1) for the prefix elements of every set."""
+    """(list, part, id, size, pos, s0 to s3) for the prefix elements of every set."""
     shared = reps.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +59,8 @@ def _postings(reps: DataFrame, counts: np.ndarray, threshold: float, list_size:
                 n = len(x)
                 freq = counts[x >> np.uint64(64 - CELL_BITS)]
                 order = np.lexsort((x, freq))[: n - math.ceil(threshold * n - 1e-9) + 1]
-                bits = np.bincount((x & np.uint64(127)).astype(np.int64), minlength=128) & 1
-                s0, s1 = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                bits = np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
                 x, freq, pos = x[order], freq[order], np.arange(len(order))
                 parts = np.maximum(1, -(-freq.astype(np.int64) // list_size))
                 own = ((rep * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 33) % parts
@@ -68,13 +70,13 @@ def _postings(reps: DataFrame, counts: np.ndarray, threshold: float, list_size:
                 low, high = np.minimum(mine, other), np.maximum(mine, other)
                 key = x[every] ^ ((low * 1_000_003 + high).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                 k = len(every)
-                out.append([key.view(np.int64), np.where(low == high, 2, (mine == high).astype(np.int64)), np.full(k, rep), np.full(k, n), pos[every], np.full(k, s0), np.full(k, s1)])
+                out.append([key.view(np.int64), np.where(low == high, 2, (mine == high).astype(np.int64)), np.full(k, rep), np.full(k, n), pos[every], *[np.full(k, s) for s in sketch]])
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                kinds = [np.int64, np.int8, np.int64, np.int32, np.int32, np.int64, np.int64]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["list", "part", "id", "size", "pos", "s0", "s1"])
+                kinds = [np.int64, np.int8, np.int64, np.int32, np.int32, *[np.int64] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=POSTING)
 
-    return reps.select("id", "tokens").mapInArrow(run, "list bigint, part tinyint, id bigint, size int, pos int, s0 bigint, s1 bigint")
+    return reps.select("id", "tokens").mapInArrow(run, "list bigint, part tinyint, id bigint, size int, pos int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
 
 
 def _pairs_of(rows: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,7 @@ def _pairs_of(rows: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray
             ok &= (p != q) | (p == 2)
             a, b = np.nonzero(ok)
             a, b = a + i, b + j
-            apart = np.bitwise_count(rows["s0"][a] ^ rows["s0"][b]).astype(np.int64) + np.bitwise_count(rows["s1"][a] ^ rows["s1"][b])
+            apart = sum(np.bitwise_count(rows[s][a] ^ rows[s][b]).astype(np.int64) for s in POSTING[5:])
             near = apart <= (1 - 2 * share) * (size[a] + size[b]) + 1e-9
             out_a.append(ids[a[near]])
             out_b.append(ids[b[near]])
@@ -113,8 +115,8 @@ def _pairs_of(rows: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray
 
 def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
     """Distinct (a, b), a < b, of the pairs that no test rules out."""
-    names = ["list", "part", "id", "size", "pos", "s0", "s1"]
-    kinds = [np.int64, np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64]
+    names = POSTING
+    kinds = [np.int64, np.int64, np.int64, np.int64, np.int64, *[np.uint64] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -243,4 +245,5 @@ def answer_sets(answers: DataFrame, run: int, least_words: int) -> DataFrame:
     """
     rows = answers.where(F.col("question_id").isNotNull() & F.col("answer").isNotNull()).select(F.col("question_id").alias("id"), "raw_question", "answer")
     rows = rows.withColumn("w", words(F.col("answer"))).where(F.size("w") >= least_words).dropDuplicates(["id"])
-    return rows.select("id", word_runs(F.concat(words(F.col("raw_question")), F.col("w")), run).alias("tokens"))
+    # the words are a column of their own, or they would be extracted anew for each run
+    return rows.select("id", F.concat(words(F.col("raw_question")), "w").alias("w")).select("id", word_runs(F.col("w"), run).alias("tokens"))
