@@ -57,14 +57,15 @@ def first_runs(rows: DataFrame, key: list[str], pos: str, ranges: int = 64) -> D
     """
     p = F.col(pos)
     seen = rows.withColumn("_first", F.min(p).over(Window.partitionBy(*key)))
-    low, high = F.min(p), F.max(p)
-    bounds = rows.agg(low.alias("_lo"), high.alias("_hi"))
-    cut = seen.crossJoin(F.broadcast(bounds)).withColumn("_range", F.floor((p - F.col("_lo")) * ranges / (F.col("_hi") - F.col("_lo") + 1)).cast("int"))
+    low, high = rows.agg(F.min(p), F.max(p)).first()
+    if low is None:
+        return rows.where(F.lit(False))
+    cut = seen.withColumn("_range", F.floor((p - F.lit(low)) * ranges / F.lit(high - low + 1)).cast("int"))
     tops = cut.groupBy("_range").agg(F.max("_first").alias("_top"))
     before = tops.select("_range", F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     w = Window.partitionBy("_range").orderBy(pos)
     last = F.greatest(F.max("_first").over(w), F.col("_before"))
-    return cut.join(F.broadcast(before), "_range").withColumn("_last", last).where("_first = _last").drop("_first", "_lo", "_hi", "_range", "_before", "_last")
+    return cut.join(F.broadcast(before), "_range").withColumn("_last", last).where("_first = _last").drop("_first", "_range", "_before", "_last")
 
 
 def kept_rows(rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
@@ -147,4 +148,4 @@ def yes_no_questions(answers: DataFrame, facts: str = "facts", changed: str = "c
     n = F.least(F.size(facts), F.size(changed))
     zipped = F.arrays_zip(F.slice(F.col(facts), F.lit(1), n).alias("fact"), F.slice(F.col(changed), F.lit(1), n).alias("changed"))
     rows = answers.where(n > 0).select("*", F.posexplode(zipped).alias("fact_no", "_z"))
-    return rows.select(*answers.columns, "fact_no", F.col("_z.fact").alias("origin_fact"), F.concat(F.col("_z.changed"), F.lit(" Please answer yes or no.")).alias("question_text")).where("size(facts) > 0" if facts == "facts" else F.lit(True))
+    return rows.select(*answers.columns, "fact_no", F.col("_z.fact").alias("origin_fact"), F.concat(F.col("_z.changed"), F.lit(" Please answer yes or no.")).alias("question_text"))
