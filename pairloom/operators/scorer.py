@@ -9,6 +9,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 class Scorer(Protocol):
@@ -58,7 +59,7 @@ def generated(rows: DataFrame, prompt: str, factory, batch: int = 8, attempts: i
                 errors += [error] * len(got)
             yield f.assign(output=pd.Series(out, index=f.index, dtype=object), error=pd.Series(errors, index=f.index, dtype=object))
 
-    schema = rows.schema.add("output", "string").add("error", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("output", T.StringType()), T.StructField("error", T.StringType())])
     return rows.mapInPandas(run, schema)
 
 
@@ -73,7 +74,5 @@ def yes_no_scores(rows: DataFrame, prompt: str, factory, batch: int = 8) -> Data
                 out += model.yes_no(f[prompt].iloc[at : at + batch].fillna("").tolist())
             yield f.assign(**{n: [x[k] for x in out] for k, n in enumerate(("yes", "yes_cap", "no", "no_cap"))})
 
-    schema = rows.schema
-    for n in ("yes", "yes_cap", "no", "no_cap"):
-        schema = schema.add(n, "double")
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("yes", "yes_cap", "no", "no_cap")]])
     return rows.mapInPandas(run, schema)

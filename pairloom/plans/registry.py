@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.plans import nested
+from pairloom.plans import nested, reference
 
-MODULES = (nested,)
-FLAGSHIP = "p2_found"
+MODULES = (nested, reference)
+FLAGSHIP = "pairs_balanced_stats"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
