@@ -405,7 +405,7 @@ def modification_weights(spark, folder):
 
 @query("select ds_question_id, question || '' back, to_base64(encode(question)) b64 from questions")
 def base64_round_trip(spark, folder):
-    q = table(spark, folder, "questions").select("ds_question_id", "question", F.base64("question").alias("b64"))
+    q = table(spark, folder, "questions").select("ds_question_id", "question", F.regexp_replace(F.base64("question"), "[\r\n]", "").alias("b64"))
     return q.select("ds_question_id", F.unbase64("b64").cast("string").alias("back"), "b64")
 
 
