@@ -70,8 +70,8 @@ class Automaton:
 
     def _add(self, rank: int, x: bytes, y: bytes) -> None:
         """The gadget of one merge, onto what the earlier merges built."""
-        if (x, y) in self.gadgets:
-            return
+        if (x, y) in self.gadgets or x not in self.right or y not in self.right or self._fires(self.right[x], self.left[y]):
+            return  # earlier merges leave x and y never side by side, so the label can't be reached this way
         self.gadgets[x, y] = rank
         z = x + y
         if z in self.right:  # a second way to the same label can't be reached by correct merging
@@ -109,13 +109,13 @@ class Automaton:
         """Token ids of one pre-split word."""
         whole = self.ids.get(word)
         if whole is not None and word in self.right:
-            return [whole]
+            return [whole]  # a label that correct merging reaches is the path of its own bytes
         state: list[bytes | None] = [None] * (len(word) + 1)
-        known, arc = self.ids, self.arc
+        known, reached, arc = self.ids, self.right, self.arc
         for end in range(1, len(word) + 1):
             for begin in range(max(0, end - self.longest), end):
                 label = word[begin:end]
-                if label in known and (begin == 0 or (state[begin] is not None and arc(state[begin], label))):
+                if label in reached and (begin == 0 or (state[begin] is not None and arc(state[begin], label))):
                     state[end] = label
                     break
         out, at = [], len(word)
