@@ -222,7 +222,9 @@ def similar_sets(sets: DataFrame, threshold: float, *, list_size: int = 4096, cl
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     spark = sets.sparkSession
-    sets = stage(sets.where(F.col("id").isNotNull() & (F.size("tokens") > 0)).select("id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).withColumn("set", F.xxhash64("tokens")), "sets")
+    # sort_array compares natively; the filter and the hash read what was written, or the sets would be made three times
+    sets = stage(sets.where(F.col("id").isNotNull()).select("id", F.sort_array(F.array_distinct("tokens")).alias("tokens")), "sets")
+    sets = sets.where(F.size("tokens") > 0).withColumn("set", F.xxhash64("tokens"))
     first = sets.groupBy("set", F.size("tokens").alias("n")).agg(F.min("id").alias("rep"))
     members = stage(sets.select("id", "set", F.size("tokens").alias("n")).join(first, ["set", "n"]).select("id", "rep"), "members")
     reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "tokens")
