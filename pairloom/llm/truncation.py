@@ -4,7 +4,8 @@ Every text is parsed into segments (sentences or lines).  What tells a cut text
 copies of its end exist elsewhere; three self-joins by prefix give the evidence:
 
 * whole values: the distinct texts are sorted across the cluster, and one that is a strict prefix
-  of its successor is marked;
+  of its successor is marked; an unfinished one is cut, unless it ends in a label (a list item or
+  up to three words) that doesn't follow a full stop;
 * segments: segments are grouped by the hash of a prefix of fixed length (one to three words).
   Where the longer ones of a group run to a full stop, one without is a prefix of what was to come;
   where they do not (labels, list items, numbers), it is complete;
@@ -12,7 +13,9 @@ copies of its end exist elsewhere; three self-joins by prefix give the evidence:
   was cut inside.
 
 Marks left by a transfer (an ellipsis after an unfinished segment, an open bracket or quotation mark, half an escape) count as well.
-The statistics are over all texts, summed in each batch before they are shuffled.
+The statistics are over all texts, summed in each batch before they are shuffled.  Openings count
+each distinct text once, so that copies of one cut text don't outvote the others; whole words and
+segments of one word count every row, as copies tell a label.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ _ornament = regex.compile(r"(?:[\p{So}\p{Sk}️‍​]|\s|</?[a-zA-Z][^<>]*>|<\|
 _mark = regex.compile(r"(?:\s*(?:\.{2,}|…|\[[a-z]{0,9}\.*|�|\\u?[0-9a-fA-F]{0,4}|&#?\w{0,6}|<[^<>\n]{0,20}))+\Z")
 _closed = regex.compile(r"[.!?。！？][\"')\]»”’」』）]*\Z")
 _item = regex.compile(r"\s*(?:[-*•–]|\d+[.)])\s")
+#: Words up to which a segment without a full stop may be a label.
+LABEL_WORDS = 3
 #: Repetitions of the statistics that spread a hot opening over tasks.
 SALTS = 16
 
@@ -53,10 +58,10 @@ def parse(text: str) -> tuple[list[tuple[list[str], bool]], str, bool]:
 
 
 def tail(text: str | None) -> tuple | None:
-    """(sure, after_stop, opening, alone, last): what is known of an unfinished end; None for a finished one.
+    """(sure, after_stop, long, opening, alone, last): what is known of an unfinished end; None for a finished one.
 
     sure: a cut mark or an open bracket or quotation; after_stop: the segment before ends with a
-    full stop; opening: the longest prefix of one to three words short of the last word; alone: the
+    full stop; long: the segment is no label; opening: the longest prefix of one to three words short of the last word; alone: the
     one word of a segment of one; last: the last word if the text ends inside or right after it.
     """
     if not text:
@@ -67,34 +72,47 @@ def tail(text: str | None) -> tuple | None:
     words = segments[-1][0]
     line = [m[0] for m in _segment.finditer(bare) if _token(m[0])][-1]
     broken = line.count('"') % 2 == 1 or any(line.count(a) > line.count(b) for a, b in ("()", "[]", "“”"))
-    after = len(segments) > 1 and segments[-2][1] and not _item.match(line)
+    item = bool(_item.match(line))
+    after = len(segments) > 1 and segments[-2][1] and not item
+    long = len(words) > LABEL_WORDS and not item
     opening = " ".join(words[: min(3, len(words) - 1)]) if len(words) > 1 else None
-    return marked or broken, after, opening, words[0] if len(words) == 1 else None, words[-1] if bare[-1:].isalnum() else None
+    return marked or broken, after, long, opening, words[0] if len(words) == 1 else None, words[-1] if bare[-1:].isalnum() else None
 
 
-def _statistics(texts: list[str | None]) -> Counter:
-    """Counts of (kind, key): o/c openings of open and closed segments, s whole segments of one word, w words known to be whole."""
+def _statistics(texts: list[str], copies: list[int]) -> Counter:
+    """Counts of (kind, key) over distinct texts: o/c openings of open and closed segments; and over their copies: r closed
+    segments that run on after a word, s whole segments of one word, w words known to be whole."""
     out: Counter = Counter()
-    for t in texts:
-        if not t:
-            continue
+    for t, k in zip(texts, copies, strict=True):
         for words, closed in parse(t)[0]:
             for n in range(1, min(3, len(words) - 1) + 1):
                 out["c" if closed else "o", " ".join(words[:n])] += 1
             if len(words) == 1:
-                out["s", words[0]] += 1
-            out.update(("w", w) for w in (words if closed else words[:-1]))
+                out["s", words[0]] += k
+            elif closed:
+                out["r", words[0]] += k
+            for w in words if closed else words[:-1]:
+                out["w", w] += k
     return out
 
 
+def _sorted(texts: DataFrame) -> DataFrame:
+    """(text, copies, part): the distinct values of (text) but null and "", sorted across partitions."""
+    distinct = texts.where(F.col("text") != "").groupBy("text").agg(F.count("*").alias("copies"))
+    return stage(distinct.repartitionByRange("text").withColumn("part", F.spark_partition_id()), "sorted")
+
+
 def strict_prefixes(texts: DataFrame) -> DataFrame:
     """The distinct values of (text) that are strict prefixes of another one, by one sort of all.
 
     Among sorted values everything between a prefix and its extension starts with the prefix, so
     the successor decides.  One value for each partition goes to the driver to bridge partitions.
     """
-    spark = texts.sparkSession
-    ordered = stage(texts.where(F.col("text") != "").select("text").distinct().repartitionByRange("text").withColumn("part", F.spark_partition_id()), "sorted")
+    return _prefixes(_sorted(texts))
+
+
+def _prefixes(ordered: DataFrame) -> DataFrame:
+    spark = ordered.sparkSession
     heads = {r["part"]: r["first"] for r in ordered.groupBy("part").agg(F.min("text").alias("first")).collect()}
     parts = sorted(heads)
     bridge = spark.createDataFrame([(p, heads[q]) for p, q in zip(parts, parts[1:])], "part int, head string")
@@ -109,7 +127,7 @@ def cut_texts(df: DataFrame, least_share: float = 0.5) -> DataFrame:
     be of any type and may repeat; rows keep their number.  An empty table gives an empty table.
     """
     kind = df.schema["id"].dataType
-    schema = f"id {kind.simpleString()}, sure boolean, after boolean, opening string, alone string, last string, text string"
+    schema = f"id {kind.simpleString()}, sure boolean, after boolean, long boolean, opening string, alone string, last string, text string"
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,8 +135,8 @@ def cut_texts(df: DataFrame, least_share: float = 0.5) -> DataFrame:
             got = [(i, *t, x) for i, x in enumerate(texts) if (t := tail(x))]
             if got:
                 at, *rest = zip(*got, strict=True)
-                types = [pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *[pa.array(c, t) for c, t in zip(rest, types, strict=True)]], names=["id", "sure", "after", "opening", "alone", "last", "text"])
+                types = [pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *[pa.array(c, t) for c, t in zip(rest, types, strict=True)]], names=["id", "sure", "after", "long", "opening", "alone", "last", "text"])
 
     def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -128,7 +146,7 @@ def cut_texts(df: DataFrame, least_share: float = 0.5) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys]), pa.array([k for _, k in keys]), pa.array([total[k] for k in keys], pa.int64())], names=["kind", "key", "n"])
 
         for b in batches:
-            total.update(_statistics(b.column(0).to_pylist()))
+            total.update(_statistics(b.column(0).to_pylist(), b.column(1).to_pylist()))
             if len(total) > 200_000:
                 yield rows()
                 total.clear()
@@ -137,20 +155,23 @@ def cut_texts(df: DataFrame, least_share: float = 0.5) -> DataFrame:
 
     source = df.select("id", "text")
     open_ends = stage(source.where(F.col("text").isNotNull()).mapInArrow(tails, schema), "tails")
-    counts = stage(source.where(F.col("text").isNotNull()).select("text").mapInArrow(statistics, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "statistics")
+    ordered = _sorted(source)
+    counts = stage(ordered.select("text", "copies").mapInArrow(statistics, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "statistics")
 
     openings = counts.where(F.col("kind").isin("c", "o")).groupBy(F.col("key").alias("opening")).agg(F.sum(F.when(F.col("kind") == "c", F.col("n")).otherwise(0)).alias("closed"), F.sum("n").alias("all"))
     wanted = openings.join(open_ends.select("opening").unionByName(open_ends.select(F.col("alone").alias("opening"))).distinct(), "opening", "left_semi")
     singles = counts.where("kind = 's'").select(F.col("key").alias("alone"), F.col("n").alias("singles"))
+    runs_on = counts.where("kind = 'r'").select(F.col("key").alias("alone"), F.col("n").alias("runs_on"))
     whole = counts.where("kind = 'w'").select(F.col("key").alias("last"), F.col("n").alias("known"))
     parts = whole.where("known >= 2 and length(last) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("last") - 1), lambda k: F.substring(F.col("last"), F.lit(1), k))).alias("last")).distinct().withColumn("partial", F.lit(True))
     lasts = open_ends.select("last").where("last is not null").distinct().join(whole, "last", "left").join(parts, "last", "left").where("known is null and partial").select("last", "partial")
-    prefixes = strict_prefixes(source).join(open_ends.select("text").distinct(), "text", "left_semi").withColumn("copied", F.lit(True))
+    prefixes = _prefixes(ordered).join(open_ends.select("text").distinct(), "text", "left_semi").withColumn("copied", F.lit(True))
 
     salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = open_ends.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
     rows = rows.join(salted, ["opening", "salt"], "left").drop("salt")
-    rows = rows.join(wanted.join(singles, F.col("opening") == F.col("alone"), "left").select(F.col("opening").alias("alone"), F.col("closed").alias("runs_on"), F.coalesce("singles", F.lit(0)).alias("singles")), "alone", "left")
+    known = wanted.select(F.col("opening").alias("alone")).join(singles, "alone", "left").join(runs_on, "alone", "left")
+    rows = rows.join(known.select("alone", F.coalesce("runs_on", F.lit(0)).alias("runs_on"), F.coalesce("singles", F.lit(0)).alias("singles")), "alone", "left")
     rows = rows.join(lasts, "last", "left").join(prefixes, "text", "left")
     share = F.col("closed") / F.col("all")
     evidence = (
@@ -159,7 +180,7 @@ def cut_texts(df: DataFrame, least_share: float = 0.5) -> DataFrame:
         .when(share >= least_share, F.lit("segment"))
         .when(F.col("runs_on") > F.col("singles"), F.lit("segment"))
         .when(F.col("after") & (F.coalesce("all", F.lit(0)) < 5) & F.coalesce(F.col("singles") == 0, F.lit(True)), F.lit("style"))
-        .when(F.col("copied") & F.col("after"), F.lit("copy"))
+        .when(F.col("copied") & (F.col("after") | F.col("long")), F.lit("copy"))
     )
     return rows.withColumn("evidence", evidence).where("evidence is not null").select("id", "evidence")
 

@@ -53,6 +53,16 @@ def test_cut_texts(spark):
     assert truncation.cut_texts(rows.limit(0)).count() == 0
 
 
+def test_copies_of_a_cut_text_do_not_hide_it(spark):
+    longer = [f"Several shadows cross the {a} {b}." for a in ("red", "old", "tall") for b in ("tram", "kettle", "parrot")]
+    cut = ["Several shadows cross"] * 40 + ["Several shadows cross the red", "Quiet bells ring over the"]
+    whole = ["red kettle", "red kettle, old tram", *longer, "Quiet bells ring over the harbour wall"]
+    rows = spark.createDataFrame(list(enumerate(whole + cut)), "id bigint, text string")
+    got = {r.id: r.evidence for r in truncation.cut_texts(rows).collect()}
+    assert got.keys() == set(range(len(whole), len(whole) + len(cut)))
+    assert got[len(whole) + 40] == "segment" and got[len(whole) + 41] == "copy"
+
+
 def test_strict_prefixes(spark):
     texts = ["a", "ab", "abc", "b", "ca", "ca", None, ""]
     got = truncation.strict_prefixes(spark.createDataFrame([(t,) for t in texts], "text string"))
