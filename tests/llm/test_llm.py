@@ -88,6 +88,13 @@ def test_pair_defects(spark):
     assert pair_defects.defects(df.limit(0)).count() == 0
 
 
+def test_a_cue_followed_by_other_content_is_no_refusal(spark):
+    good = "The red kettle stands near the market wall."
+    said = ["I cannot say what brand the mug is. The red mug stands on the table.", "I cannot say what brand the mug is. Please ask someone else."]
+    df = spark.createDataFrame([(k, f"What is it, {k}?", good, a) for k, a in enumerate(said)], "pair_id bigint, question string, chosen string, rejected string")
+    assert {tuple(r) for r in pair_defects.defects(df).collect()} == {(1, "rejected", "refusal")}
+
+
 # --- p5 -----------------------------------------------------------------------------------------
 
 
