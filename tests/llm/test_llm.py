@@ -95,6 +95,15 @@ def test_a_cue_followed_by_other_content_is_no_refusal(spark):
     assert {tuple(r) for r in pair_defects.defects(df).collect()} == {(1, "rejected", "refusal")}
 
 
+def test_long_refusals_that_recur(spark):
+    good = "The red kettle stands near the market wall."
+    opening = "I must decline to answer this question about the attached photo."
+    policy = " ".join(f"The service that answers here keeps to rule {w} of the terms that hold for all of its users." for w in ("one", "two", "three"))
+    said = [f"{opening} {policy}"] * 4 + [f"{opening} A tall parrot sits on the harbour wall."]
+    df = spark.createDataFrame([(k, f"What is it, {k}?", good, a) for k, a in enumerate(said)], "pair_id bigint, question string, chosen string, rejected string")
+    assert {tuple(r) for r in pair_defects.defects(df).collect()} == {(k, "rejected", "refusal") for k in range(4)}
+
+
 # --- p5 -----------------------------------------------------------------------------------------
 
 
