@@ -52,8 +52,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Each answer with its class of exact copies and the number of classes linked to it, at the stricter default of five words and 0.8."""
-    sets = similarity_join.answer_sets(table(spark, folder, "candidate_answers"), 5, 5)
+    """Each answer with its class of exact copies and the number of classes linked to it, at the stricter default of five words and 0.8.
+
+    Every question_id has a row; question and answer of fewer than five words together are in the class of the same words.
+    """
+    sets = similarity_join.answer_sets(table(spark, folder, "candidate_answers"), 5, 0, short=True)
     return similarity_join.similar_sets(sets, 0.8).classes().withColumnRenamed("id", "question_id")
 
 

@@ -240,12 +240,17 @@ def similar_sets(sets: DataFrame, threshold: float, *, list_size: int = 4096, cl
     return SimilarSets(members, stage(links, "links"))
 
 
-def answer_sets(answers: DataFrame, run: int, least_words: int) -> DataFrame:
+def answer_sets(answers: DataFrame, run: int, least_words: int, *, short: bool = False) -> DataFrame:
     """(id, tokens) of candidate answers: runs of words of the question, a blank and the answer.
 
-    A question_id counts once; null ids and answers under ``least_words`` words are left out.
+    A question_id counts once; null ids and answers under ``least_words`` words are left out.  A null
+    answer has no words.  With ``short``, a row without a run gets one hash of all its words as its set.
     """
-    rows = answers.where(F.col("question_id").isNotNull() & F.col("answer").isNotNull()).select(F.col("question_id").alias("id"), "raw_question", "answer")
+    rows = answers.where(F.col("question_id").isNotNull()).select(F.col("question_id").alias("id"), "raw_question", "answer")
     rows = rows.withColumn("w", words(F.col("answer"))).where(F.size("w") >= least_words).dropDuplicates(["id"])
     # the words are a column of their own, or they would be extracted anew for each run
-    return rows.select("id", F.concat(words(F.col("raw_question")), "w").alias("w")).select("id", word_runs(F.col("w"), run).alias("tokens"))
+    rows = rows.select("id", F.concat(words(F.col("raw_question")), "w").alias("w"))
+    tokens = word_runs(F.col("w"), run)
+    if short:
+        tokens = F.when(F.size("w") < run, F.array(F.xxhash64("w"))).otherwise(tokens)
+    return rows.select("id", tokens.alias("tokens"))

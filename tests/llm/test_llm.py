@@ -132,6 +132,13 @@ def test_similarity_join_equals_brute_force(spark, list_size):
         assert similarity_join.similar_sets(df.limit(0), 0.6).pairs().count() == 0
 
 
+def test_classes_keep_every_answer(spark, tmp_path):
+    rows = [(1, "What colour is the tram?", "Unclear"), (2, "What colour is the tram?", "unclear."), (3, "Why?", "Yes"), (4, "why", "Yes."), (5, "Why?", "No"), (6, "Why?", None), (7, None, None), (8, "What is it?", "The red kettle stands near the wall."), (None, "Why?", "Yes"), (1, "What colour is the tram?", "Unclear")]
+    spark.createDataFrame(rows, "question_id bigint, raw_question string, answer string").write.parquet(f"{tmp_path}/candidate_answers.parquet")
+    got = sorted(tuple(r) for r in queries.p5_classes(spark, str(tmp_path)).select("question_id", "class_id", "n_links").collect())
+    assert got == [(1, 1, 0), (2, 1, 0), (3, 3, 0), (4, 3, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0)]
+
+
 # --- p6 -----------------------------------------------------------------------------------------
 
 
