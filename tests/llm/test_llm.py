@@ -104,6 +104,26 @@ def test_long_refusals_that_recur(spark):
     assert {tuple(r) for r in pair_defects.defects(df).collect()} == {(k, "rejected", "refusal") for k in range(4)}
 
 
+@pytest.mark.parametrize("direct", [64, 2])
+def test_clusters_link_all_similar_members_of_a_band(spark, monkeypatch, direct):
+    monkeypatch.setattr(pair_defects, "DIRECT", direct)
+    rng = random.Random(direct)
+    core = [f"w{k:02d}" for k in range(40)]
+    openings = set()
+    for _ in range(60):  # with one band of no hash rows all openings share it; many are far from the least
+        w = list(core)
+        for k in rng.sample([0, 1, 2, 20, 37, 38, 39], rng.randint(0, 4)):
+            w[k] = rng.choice("ab") + str(k)
+        openings.add(" ".join(w))
+    runs = {o: {tuple(o.split()[k : k + 5]) for k in range(36)} for o in openings}
+    want = {o: o for o in openings}
+    for _ in openings:
+        want = {o: min(want[p] for p in openings if len(runs[o] & runs[p]) >= 0.8 * len(runs[o] | runs[p]) - 1e-9) for o in openings}
+    df = spark.createDataFrame([(o,) for o in openings], "opening string")
+    got = {r.opening: r.cluster for r in pair_defects.opening_clusters(df, bands=1, rows=0).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
 # --- p5 -----------------------------------------------------------------------------------------
 
 
