@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "pairloom.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "pairloom.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, files in os.walk(root):
             for name in files:

@@ -30,12 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
+    """Write ``df`` to the shared folder and return a DataFrame that reads it back.
+
+    The table stays until ``drop_stage`` or the end of the session's shared folder, as a lazy result may read it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def drop_stage(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote and that no later plan reads; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_stage_path", None)
+        if path:
+            jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
