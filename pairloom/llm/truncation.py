@@ -1,188 +1,240 @@
-"""Texts that stop before they were finished.
-
-Every text is parsed into segments (sentences or lines).  What tells a cut text is whether longer
-copies of its end exist elsewhere; three self-joins by prefix give the evidence:
-
-* whole values: the distinct texts are sorted across the cluster, and one that is a strict prefix
-  of its successor is marked; an unfinished one is cut, unless it ends in a label (a list item or
-  up to three words) that doesn't follow a full stop;
-* segments: segments are grouped by the hash of a prefix of fixed length (one to three words).
-  Where the longer ones of a group run to a full stop, one without is a prefix of what was to come;
-  where they do not (labels, list items, numbers), it is complete;
-* words: a last word that occurs nowhere as a whole word, but as a strict prefix of longer ones,
-  was cut inside.
-
-Marks left by a transfer (an ellipsis after an unfinished segment, an open bracket or quotation mark, half an escape) count as well.
-The statistics are over all texts, summed in each batch before they are shuffled.  Openings count
-each distinct text once, so that copies of one cut text don't outvote the others; whole words and
-segments of one word count every row, as copies tell a label.
+"""Texts that stop before they were finished, by self-joins on prefixes.
+
+Every distinct text is scanned once into segments (sentences or lines) of words.
+
+* Longer copies: the values are windows of ``WINDOW`` words, one from each place of each segment,
+  with ``^`` for the begin of a segment and ``.`` for its full stop; a window that an unfinished
+  end touches is left out.  The last words of an unfinished text (three, else two) are sorted
+  among them across the cluster.  Between a value and its extensions lie only extensions, so the
+  next window tells whether the end is a strict prefix of a longer copy, and of which text.  A
+  text is cut only if there is one.
+* Completeness: what is a prefix of something longer may yet be complete (labels, items of lists,
+  numbers).  Segments are grouped by hashes of prefixes of fixed length (one to three words): where
+  those of a group run to a full stop, one without is unfinished.  Single words count as complete
+  unless they run on more often than they stand alone.  A last word that is never a whole word, an end in a transfer
+  mark or an open bracket, and a begin after a full stop that nothing else begins with, tell as well;
+  so does an end of three words that continues elsewhere in a segment longer than a label.
+
+Statistics are over all texts and summed in each batch before they are shuffled.  Openings count
+each distinct text once, so that copies of one cut text don't outvote the others; segments of one
+word count every row, as copies tell a label.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.core.staging import stage
 
 _segment = regex.compile(r"[^\n]+?(?:[.!?…]+[\"')\]»”’]*(?=\s|$)|[。！？]+[”」』）]*|(?=\n|\Z))")
 _token = regex.compile(r"\p{Han}|[^\W_\p{Han}]+(?:['’][^\W_]+)?").findall
+_HAN = "⺀-⻿⼀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿\U00020000-\U000323af"
+#: Words, stops and line ends of a text, in one pass.
+_pieces = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+(?:['’][^\W_]+)?|\n|[.!?…]+[\"')\]»”’]*(?=\s|\Z)|[。！？]+[”」』）]*").findall
 #: What may follow a finished text: pictographs, white space, whole tags and end-of-text tokens.
 _ornament = regex.compile(r"(?:[\p{So}\p{Sk}️‍​]|\s|</?[a-zA-Z][^<>]*>|<\|[^<>|]*\|>|&nbsp;)+\Z")
 _mark = regex.compile(r"(?:\s*(?:\.{2,}|…|\[[a-z]{0,9}\.*|�|\\u?[0-9a-fA-F]{0,4}|&#?\w{0,6}|<[^<>\n]{0,20}))+\Z")
+_may_mark = re.compile(r"[…\[�\\&<]|\.\.\Z").search
 _closed = regex.compile(r"[.!?。！？][\"')\]»”’」』）]*\Z")
 _item = regex.compile(r"\s*(?:[-*•–]|\d+[.)])\s")
 #: Words up to which a segment without a full stop may be a label.
 LABEL_WORDS = 3
-#: Repetitions of the statistics that spread a hot opening over tasks.
+#: Words of a window, the begin and the full stop of a segment counting as one.
+WINDOW = 4
+#: Repetitions of what a hot key is joined with, to spread it over tasks.
 SALTS = 16
+_CLOSERS = "\"')]»”’」』）"
+
+
+def trimmed(text: str) -> tuple[str, bool]:
+    """The text without ornaments and cut marks at its end, and whether there was a mark."""
+    bare = text
+    if not (bare[-1:].isalnum() or bare[-1:] in ".!?\"'"):
+        bare = _ornament.sub("", bare)
+    if _may_mark(bare) and (m := _mark.search(bare)):
+        return bare[: m.start()].rstrip(), True
+    return bare, False
+
+
+def scan(bare: str) -> list[tuple[list[str], bool]]:
+    """The segments that have words, as (words, ends with a full stop)."""
+    out: list[tuple[list[str], bool]] = []
+    words: list[str] = []
+    for p in _pieces(bare.lower()):
+        if p[0].isalnum():
+            words.append(p)
+        elif words:
+            out.append((words, p.rstrip(_CLOSERS)[-1:] in (".", "!", "?", "。", "！", "？")))
+            words = []
+    if words:
+        out.append((words, False))
+    return out
 
 
-def parse(text: str) -> tuple[list[tuple[list[str], bool]], str, bool]:
-    """Segments as (words, ends with a full stop), the text without ornaments and cut marks at its end, and whether there was a mark."""
-    bare = _ornament.sub("", text)
-    m = _mark.search(bare)
-    marked = bool(m)
-    if marked:
-        bare = bare[: m.start()].rstrip()
-    segments = []
-    for m in _segment.finditer(bare):
-        if words := _token(m[0].lower()):
-            segments.append((words, bool(_closed.search(m[0].rstrip()))))
-    return segments, bare, marked
-
-
-def tail(text: str | None) -> tuple | None:
-    """(sure, after_stop, long, opening, alone, last): what is known of an unfinished end; None for a finished one.
+def tail(bare: str, marked: bool, segments: list[tuple[list[str], bool]]) -> tuple | None:
+    """(sure, after, long, opening, alone, last, three, two) of an unfinished end; None for a finished one.
 
-    sure: a cut mark or an open bracket or quotation; after_stop: the segment before ends with a
-    full stop; long: the segment is no label; opening: the longest prefix of one to three words short of the last word; alone: the
-    one word of a segment of one; last: the last word if the text ends inside or right after it.
+    sure: a cut mark or an open bracket or quotation; after: the segment before ends with a
+    full stop; long: the segment is no label; opening: the longest prefix of one to three words
+    short of the last word; alone: the one word of a segment of one; last: the last word if the
+    text ends right after it; three, two: so many last words, ``^`` counting as one.
     """
-    if not text:
-        return None
-    segments, bare, marked = parse(text)
     if not segments or segments[-1][1]:
         return None
     words = segments[-1][0]
-    line = [m[0] for m in _segment.finditer(bare) if _token(m[0])][-1]
+    line = next(m[0] for m in reversed(list(_segment.finditer(bare))) if _token(m[0]))
     broken = line.count('"') % 2 == 1 or any(line.count(a) > line.count(b) for a, b in ("()", "[]", "“”"))
     item = bool(_item.match(line))
     after = len(segments) > 1 and segments[-2][1] and not item
     long = len(words) > LABEL_WORDS and not item
     opening = " ".join(words[: min(3, len(words) - 1)]) if len(words) > 1 else None
-    return marked or broken, after, long, opening, words[0] if len(words) == 1 else None, words[-1] if bare[-1:].isalnum() else None
-
-
-def _statistics(texts: list[str], copies: list[int]) -> Counter:
-    """Counts of (kind, key) over distinct texts: o/c openings of open and closed segments; and over their copies: r closed
-    segments that run on after a word, s whole segments of one word, w words known to be whole."""
-    out: Counter = Counter()
-    for t, k in zip(texts, copies, strict=True):
-        for words, closed in parse(t)[0]:
-            for n in range(1, min(3, len(words) - 1) + 1):
-                out["c" if closed else "o", " ".join(words[:n])] += 1
-            if len(words) == 1:
-                out["s", words[0]] += k
-            elif closed:
-                out["r", words[0]] += k
-            for w in words if closed else words[:-1]:
-                out["w", w] += k
-    return out
+    ends = ["^", *words]
+    return marked or broken, after, long, opening, words[0] if len(words) == 1 else None, words[-1] if bare[-1:].isalnum() else None, " ".join(ends[-3:]), " ".join(ends[-2:])
 
 
-def _sorted(texts: DataFrame) -> DataFrame:
-    """(text, copies, part): the distinct values of (text) but null and "", sorted across partitions."""
-    distinct = texts.where(F.col("text") != "").groupBy("text").agg(F.count("*").alias("copies"))
-    return stage(distinct.repartitionByRange("text").withColumn("part", F.spark_partition_id()), "sorted")
+def windows(segments: list[tuple[list[str], bool]]) -> Iterator[str]:
+    """Windows of the segments; those that reach a segment's end without a full stop are left out."""
+    for words, closed in segments:
+        line = ["^", *words, "."] if closed else ["^", *words[:-1]]
+        for i in range(len(line) - (1 if closed else WINDOW - 1)):
+            yield " ".join(line[i : i + WINDOW])
 
 
-def strict_prefixes(texts: DataFrame) -> DataFrame:
-    """The distinct values of (text) that are strict prefixes of another one, by one sort of all.
+def count_openings(out: Counter, segments: list[tuple[list[str], bool]], copies: int) -> None:
+    """Adds the counts of (kind, key): o/c openings of open and closed segments; and over all copies r closed
+    segments that run on after a word, s whole segments of one word."""
+    for words, closed in segments:
+        kind = "c" if closed else "o"
+        for n in range(1, min(3, len(words) - 1) + 1):
+            out[kind, " ".join(words[:n])] += 1
+        if len(words) == 1:
+            out["s", words[0]] += copies
+        elif closed:
+            out["r", words[0]] += copies
 
-    Among sorted values everything between a prefix and its extension starts with the prefix, so
-    the successor decides.  One value for each partition goes to the driver to bridge partitions.
-    """
-    return _prefixes(_sorted(texts))
 
+_PARTS = "kind string, key string, n bigint, sure boolean, after boolean, long boolean, alone string, last string, three string, two string, text string"
+_TAIL = ("sure", "after", "long", "alone", "last", "three", "two", "text")
 
-def _prefixes(ordered: DataFrame) -> DataFrame:
-    spark = ordered.sparkSession
-    heads = {r["part"]: r["first"] for r in ordered.groupBy("part").agg(F.min("text").alias("first")).collect()}
-    parts = sorted(heads)
-    bridge = spark.createDataFrame([(p, heads[q]) for p, q in zip(parts, parts[1:])], "part int, head string")
-    following = F.coalesce(F.lead("text").over(Window.partitionBy("part").orderBy("text")), F.col("head"))
-    return ordered.join(F.broadcast(bridge), "part", "left").withColumn("next", following).where(F.startswith("next", "text")).select("text")
 
+def _parsed(distinct: DataFrame, kind: str) -> DataFrame:
+    """Rows of several kinds from (text, copies, id): w windows with their least and greatest id, t unfinished ends, and counts."""
+    types = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), *[pa.string()] * 5]
+    names = ["kind", "key", "n", *_TAIL, "low", "high"]
 
-def cut_texts(df: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """(id, evidence) of the rows of (id, text) whose text is cut; evidence names what told it.
-
-    Null, blank and unworded texts, and texts that end with a full stop, are never cut.  Ids may
-    be of any type and may repeat; rows keep their number.  An empty table gives an empty table.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total: Counter = Counter()
+            seen: dict[str, list[int]] = {}
+            rows: list[tuple] = []
+            at: list[tuple[int, int]] = []
+            for i, (text, copies) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                bare, marked = trimmed(text)
+                segments = scan(bare)
+                count_openings(total, segments, copies)
+                for w in windows(segments):
+                    if w in seen:
+                        seen[w][1] = i
+                    else:
+                        seen[w] = [i, i]
+                if t := tail(bare, marked, segments):
+                    sure, after, long, opening, *rest = t
+                    rows.append(("t", opening, None, sure, after, long, *rest, text))
+                    at.append((i, i))
+            rows += [(k, x, n, *[None] * 8) for (k, x), n in total.items()]
+            at += [(None, None)] * len(total)
+            rows += [("w", x, *[None] * 9) for x in seen]
+            at += seen.values()
+            if rows:
+                ids = b.column(2)
+                low, high = (ids.take(pa.array([p[k] for p in at], pa.int32())) for k in (0, 1))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, low, high], names=names)
+
+    return distinct.select("text", "copies", "id").mapInArrow(run, f"{_PARTS}, low {kind}, high {kind}")
+
+
+def continued(values: DataFrame, longer: DataFrame) -> DataFrame:
+    """(value, low, high) of the distinct values that are strict prefixes of one of (window, low, high), by one sort of both.
+
+    Values and windows are distinct.  Between a value and its extensions lie only extensions, so the window that
+    follows decides.  One window for each partition goes to the driver, to bridge partitions.
     """
-    kind = df.schema["id"].dataType
-    schema = f"id {kind.simpleString()}, sure boolean, after boolean, long boolean, opening string, alone string, last string, text string"
+    both = longer.select(F.col("window").alias("v"), F.struct("window", "low", "high").alias("w")).unionByName(values.select(F.col("value").alias("v")).withColumn("w", F.lit(None)))
+    ordered = stage(both.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "sorted")
+    heads = {r["part"]: r["w"] for r in ordered.where("w is not null").groupBy("part").agg(F.min_by("w", "v").alias("w")).collect()}
+    parts = sorted(r["part"] for r in ordered.select("part").distinct().collect())
+    following = [(p, next((heads[q] for q in parts if q > p and q in heads), None)) for p in parts]
+    bridge = ordered.sparkSession.createDataFrame(following, f"part int, head {ordered.schema['w'].dataType.simpleString()}")
+    # from the greatest value down, a value before the window equal to it: the last window seen is the one that follows
+    seen = F.last("w", ignorenulls=True).over(Window.partitionBy("part").orderBy(F.desc("v"), F.col("w").isNull().desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = ordered.withColumn("next", seen).where("w is null").join(F.broadcast(bridge), "part", "left").withColumn("next", F.coalesce("next", "head"))
+    return near.where(F.startswith("next.window", "v")).select(F.col("v").alias("value"), "next.low", "next.high")
 
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            got = [(i, *t, x) for i, x in enumerate(texts) if (t := tail(x))]
-            if got:
-                at, *rest = zip(*got, strict=True)
-                types = [pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *[pa.array(c, t) for c, t in zip(rest, types, strict=True)]], names=["id", "sure", "after", "long", "opening", "alone", "last", "text"])
 
-    def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+def _spread(rows: DataFrame, key: str, small: DataFrame, by: str) -> DataFrame:
+    """Left join on a key that may be hot or null: ``small``, distinct in the key, is repeated for each salt."""
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], "left").drop("salt")
 
-        def rows() -> pa.RecordBatch:
-            keys = list(total)
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys]), pa.array([k for _, k in keys]), pa.array([total[k] for k in keys], pa.int64())], names=["kind", "key", "n"])
 
-        for b in batches:
-            total.update(_statistics(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            if len(total) > 200_000:
-                yield rows()
-                total.clear()
-        if total:
-            yield rows()
-
-    source = df.select("id", "text")
-    open_ends = stage(source.where(F.col("text").isNotNull()).mapInArrow(tails, schema), "tails")
-    ordered = _sorted(source)
-    counts = stage(ordered.select("text", "copies").mapInArrow(statistics, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "statistics")
-
-    openings = counts.where(F.col("kind").isin("c", "o")).groupBy(F.col("key").alias("opening")).agg(F.sum(F.when(F.col("kind") == "c", F.col("n")).otherwise(0)).alias("closed"), F.sum("n").alias("all"))
-    wanted = openings.join(open_ends.select("opening").unionByName(open_ends.select(F.col("alone").alias("opening"))).distinct(), "opening", "left_semi")
-    singles = counts.where("kind = 's'").select(F.col("key").alias("alone"), F.col("n").alias("singles"))
-    runs_on = counts.where("kind = 'r'").select(F.col("key").alias("alone"), F.col("n").alias("runs_on"))
-    whole = counts.where("kind = 'w'").select(F.col("key").alias("last"), F.col("n").alias("known"))
-    parts = whole.where("known >= 2 and length(last) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("last") - 1), lambda k: F.substring(F.col("last"), F.lit(1), k))).alias("last")).distinct().withColumn("partial", F.lit(True))
-    lasts = open_ends.select("last").where("last is not null").distinct().join(whole, "last", "left").join(parts, "last", "left").where("known is null and partial").select("last", "partial")
-    prefixes = _prefixes(ordered).join(open_ends.select("text").distinct(), "text", "left_semi").withColumn("copied", F.lit(True))
-
-    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = open_ends.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
-    rows = rows.join(salted, ["opening", "salt"], "left").drop("salt")
-    known = wanted.select(F.col("opening").alias("alone")).join(singles, "alone", "left").join(runs_on, "alone", "left")
-    rows = rows.join(known.select("alone", F.coalesce("runs_on", F.lit(0)).alias("runs_on"), F.coalesce("singles", F.lit(0)).alias("singles")), "alone", "left")
-    rows = rows.join(lasts, "last", "left").join(prefixes, "text", "left")
-    share = F.col("closed") / F.col("all")
+def may_be_open(text: Column) -> Column:
+    """Whether a text may lack its end: false only where it has no cut mark and ends with a word and a full stop."""
+    return ~F.rlike(text, F.lit(r"[\p{L}\p{N}][.!?。！？]\s*\z")) | F.rlike(text, F.lit(r"[…\[�\\&<]"))
+
+
+def cut_texts(df: DataFrame, least_share: float = 0.5) -> DataFrame:
+    """(id, evidence, copy_id) of the rows of (id, text) whose text is cut; copy_id is the id of a longer copy of its end.
+
+    evidence names what tells that the end is no complete one.  copy_id is the row's own id only where
+    no other text has the copy.  Null, blank and unworded texts, and texts that end with a full
+    stop, are never cut.  Ids may be of any type and may repeat; rows keep their number.  An empty
+    table gives an empty table.
+    """
+    kind = df.schema["id"].dataType.simpleString()
+    source = df.where(F.col("text") != "").select("id", "text")
+    distinct = source.groupBy("text").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    parsed = stage(_parsed(distinct, kind), "parsed")
+    ends = parsed.where("kind = 't'").select(F.col("key").alias("opening"), *_TAIL)
+    counts = parsed.where(F.col("kind").isin("c", "o", "s", "r")).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    n_of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+    known = parsed.where(F.col("kind").isin("c", "o", "s", "r")).groupBy("key").agg(n_of("c").alias("closed"), n_of("o").alias("open"), n_of("s").alias("singles"), n_of("r").alias("runs_on"))
+
+    longer = parsed.where("kind = 'w'").groupBy(F.col("key").alias("window")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    asked = ends.select(F.explode(F.array("three", "two", F.concat("last", F.lit(" ")))).alias("value")).where("value is not null").distinct()
+    found = stage(continued(asked, longer), "continued")
+    copy = lambda key, name: found.select(F.col("value").alias(key), F.struct("low", "high").alias(name))
+    rows = _spread(ends, "three", copy("three", "by_three"), "text")
+    rows = _spread(rows, "two", copy("two", "by_two"), "text").where("by_three is not null or by_two is not null")
+    whole = found.select(F.expr("rtrim(value)").alias("last"), F.endswith("value", F.lit(" ")).alias("whole")).where("whole")
+    rows = _spread(rows, "last", whole, "text")
+    rows = _spread(rows, "opening", known.select(F.col("key").alias("opening"), "closed", (F.col("closed") + F.col("open")).alias("all")), "text")
+    rows = _spread(rows, "alone", known.where("closed + open > 0").select(F.col("key").alias("alone"), "singles", "runs_on"), "text")
     evidence = (
         F.when(F.col("sure"), F.lit("mark"))
-        .when(F.col("partial"), F.lit("word"))
-        .when(share >= least_share, F.lit("segment"))
+        .when(F.col("last").isNotNull() & F.col("whole").isNull(), F.lit("word"))
+        .when(F.col("closed") / F.col("all") >= least_share, F.lit("segment"))
         .when(F.col("runs_on") > F.col("singles"), F.lit("segment"))
         .when(F.col("after") & (F.coalesce("all", F.lit(0)) < 5) & F.coalesce(F.col("singles") == 0, F.lit(True)), F.lit("style"))
-        .when(F.col("copied") & (F.col("after") | F.col("long")), F.lit("copy"))
+        .when(F.col("long") & F.col("by_three").isNotNull(), F.lit("copy"))
     )
-    return rows.withColumn("evidence", evidence).where("evidence is not null").select("id", "evidence")
+    cut = rows.withColumn("evidence", evidence).where("evidence is not null").select("text", "evidence", F.coalesce("by_three", "by_two").alias("copy"))
+    other = F.when(F.col("copy.low") == F.col("id"), F.col("copy.high")).otherwise(F.col("copy.low"))
+    return _spread(source.where(may_be_open(F.col("text"))), "text", stage(cut, "cut"), "id").where("evidence is not null").select("id", "evidence", other.alias("copy_id"))
+
+
+def strict_prefixes(texts: DataFrame) -> DataFrame:
+    """The distinct values of (text), but null and "", that are strict prefixes of another one."""
+    distinct = texts.where(F.col("text") != "").select("text").distinct()
+    longer = distinct.select(F.col("text").alias("window"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    return continued(distinct.select(F.col("text").alias("value")), longer).select(F.col("value").alias("text"))
 
 
 def source_key(path: str = "model_path"):
