@@ -1,10 +1,19 @@
-"""The language of short texts, by script and by function words (plain Python, for use in workers)."""
+"""The language of short texts, by script and by character models trained on the corpus (numpy, for use in workers).
+
+Pieces between sentence and quotation marks are told apart by script where one language uses it
+here.  Latin pieces are scored by interpolated models of three characters, one a language.  They are
+trained on a bounded sample of the corpus, whose pieces are first labelled by function words and then, once
+more, by the models themselves.  A piece that the best model finds stranger than anything of its
+language seen in training (each part scored by models of the other part) is in a language unknown
+to all, ``??``: foreign to each of them.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import regex
 
-#: Function words by language.
+#: Function words by language, the first labels of the sample.
 FUNCTION_WORDS = {
     "de": "aber alle alles als am an auch auf aus bei bis das dass dem den der des die durch ein eine einem einen einer eines er es etwas für gibt hat ich im in ist kann man mit nach neben nicht noch oder ohne sehr sich sie sieht sind so steht über um und unter vom von vor war was wie wird zu zum zur außerdem jemand wirkt fällt".split(),
     "en": "a about across after all an and another any are around as at be because been before behind below beneath beside besides between both but by can cannot could did do does each for from further has have he her here him his how i if in is it its itself just like look looks me most my near next no not of off on one only or other our out over put rather she should so some such than that the their them there these they this those through to too toward two under until up upon was we were what when where which while who whose will with without would you your".split(),
@@ -20,53 +29,187 @@ LANGUAGE_NAMES = {
     "en": ["english", "inglés", "englisch", "anglais", "英语", "英文", "английском"],
     "es": ["spanish", "español", "castellano", "spanisch", "espagnol", "西班牙语", "испанском"],
     "fr": ["french", "francés", "französisch", "français", "法语", "法文", "французском"],
+    "hi": ["hindi"],
     "it": ["italian", "italiano"],
     "ja": ["japanese", "日语", "日文"],
     "ko": ["korean"],
     "pt": ["portuguese", "portugués"],
     "ru": ["russian", "ruso", "russisch", "russe", "俄语", "俄文", "русском"],
     "zh": ["chinese", "mandarin", "chino", "chinesisch", "chinois", "中文", "汉语", "китайском"],
+    "??": ["czech", "danish", "dutch", "finnish", "hungarian", "indonesian", "norwegian", "polish", "romanian", "swedish", "turkish", "vietnamese"],
+}
+FOREIGN = "??"
+#: Ranges of letters of the scripts that tell a language here.
+SCRIPTS = {
+    "zh": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)],
+    "ja": [(0x3041, 0x3096), (0x30A1, 0x30FA), (0x31F0, 0x31FF), (0xFF66, 0xFF9D)],
+    "ru": [(0x400, 0x52F)],
+    "ko": [(0x1100, 0x11FF), (0x3131, 0x318E), (0xAC00, 0xD7A3)],
+    "ar": [(0x620, 0x64A), (0x66E, 0x6D3), (0x750, 0x77F)],
+    "el": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "he": [(0x5D0, 0x5EA)],
+    "hi": [(0x904, 0x939), (0x958, 0x961)],
+    "th": [(0xE01, 0xE30)],
 }
-_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
-_SCRIPTS = [("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("zh", regex.compile(r"\p{Han}")), ("ru", regex.compile(r"\p{Cyrillic}")), ("ko", regex.compile(r"\p{Hangul}")), ("ar", regex.compile(r"\p{Arabic}")), ("el", regex.compile(r"\p{Greek}"))]
-_letter = regex.compile(r"\p{L}")
+_LATIN = [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF)]
+#: Weights of the probabilities given two, one and no characters before, and of a uniform one.
+WEIGHTS = (0.6, 0.27, 0.12, 0.01)
+#: Latin letters a piece must have to be told at all, and to be called foreign; and the least lead, in nats, of the best language.
+TOLD_LETTERS, FOREIGN_LETTERS, LEAD = 8, 20, 3.0
+#: How much stranger than all of its language a piece must be to be foreign, in nats a character: at least,
+#: and by the inverse square root of the number of pieces the language was learnt from.
+STRANGER = (0.1, 10.0)
+_CODES = list(SCRIPTS)
+_TABLE = np.zeros(0x110000, np.int8)
+for _k, _c in enumerate(_CODES):
+    for _a, _b in SCRIPTS[_c]:
+        _TABLE[_a : _b + 1] = _k + 2
+for _a, _b in _LATIN:
+    _TABLE[_a : _b + 1] = 1
+_SIZE = 64
+#: Latin letters by place: the basic and accented ones of the first blocks, folded together beyond them.
+_SLOT = np.zeros(0x110000, np.int16)
+for _c in range(0x2000):
+    if _TABLE[_c] == 1:
+        _low = ord(chr(_c).lower()[0])
+        _SLOT[_c] = _low - 96 if _low < 123 else 27 + (_low - 0xDF) if _low < 0x100 else 60 + _low % 4
+_split = regex.compile(r"[.!?。！？…\n\"“”«»]+").split
 _words = regex.compile(r"\p{L}+").findall
-_piece = regex.compile(r"[^.!?。！？…\n\"“”«»]+")
 _request = regex.compile(r"(?:\b(?:in|en|auf|на)\s+|用)(\p{L}+)", regex.IGNORECASE)
 
 
-def piece_language(text: str) -> tuple[str | None, int]:
-    """Language of a sentence or part of one (None if unknown), and its number of letters (a Han character counts three)."""
-    letters = len(_letter.findall(text))
-    if not letters:
-        return None, 0
-    for code, script in _SCRIPTS:
-        n = len(script.findall(text))
-        if n and (n * 2 >= letters or code == "ja"):
-            return code, letters * (3 if code in ("zh", "ja") else 1)
-    words = _words(text.lower())
-    hits = {k: sum(w in s for w in words) for k, s in _SETS.items()}
-    best = max(hits, key=lambda k: (hits[k], k == "en"))
-    if hits[best] == 0 or (best != "en" and hits[best] < 1.2 * hits["en"]):
-        best = "en" if hits["en"] else None
-    return best, letters
-
-
-def language_shares(text: str) -> dict[str | None, float]:
-    """Share of the letters in each language, by pieces between sentence and quotation marks."""
-    total: dict[str | None, float] = {}
-    for m in _piece.finditer(text):
-        code, n = piece_language(m[0])
-        if n:
-            total[code] = total.get(code, 0) + n
-    all_letters = sum(total.values())
-    return {k: v / all_letters for k, v in total.items()} if all_letters else {}
-
-
-def main_language(text: str) -> str | None:
-    """The known language with the largest share."""
-    shares = {k: v for k, v in language_shares(text).items() if k}
-    return max(shares, key=shares.get) if shares else None
+class _Flat:
+    """Pieces laid end to end: their characters, where each begins, and the number of letters of each script."""
+
+    def __init__(self, pieces: list[str]):
+        self.n = len(pieces)
+        codes = np.frombuffer("\n".join([*pieces, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.script = _TABLE[codes]
+        self.starts = np.cumsum([0, *[len(p) + 1 for p in pieces]])[:-1]
+        self.slot = _SLOT[codes].astype(np.int64)
+        kinds = np.flatnonzero(np.bincount(self.script, minlength=len(_CODES) + 2)[1:]) + 1
+        self.letters = {int(k): np.add.reduceat((self.script == k).astype(np.int32), self.starts) for k in kinds} if self.n else {}
+
+    def trigrams(self) -> np.ndarray:
+        """The key of the three characters that end at each place; a run of other characters counts as one blank."""
+        padded = np.concatenate([[0, 0], self.slot])
+        one, two = padded[1:-1], padded[:-2]
+        key = (two * _SIZE + one) * _SIZE + self.slot
+        return np.where((self.slot == 0) & (one == 0), -1, key)
+
+
+class Languages:
+    """Trained character models; ``shares``, ``main`` and ``is_mainly`` tell the languages of texts."""
+
+    def __init__(self, sample: list[str]):
+        """Train on the pieces of a sample of texts."""
+        self.codes = list(FUNCTION_WORDS)
+        pieces = list(dict.fromkeys(p for t in sample for p in pieces_of(t)))
+        flat = _Flat(pieces)
+        latin = flat.letters.get(1, np.zeros(flat.n, int))
+        total = sum(flat.letters.values()) if flat.letters else latin
+        labels = np.array([_by_words(p) if 2 * n >= max(1, m) else -1 for p, n, m in zip(pieces, latin, total, strict=True)], int)
+        self.tables = self._trained(flat, labels)
+        score = self._scores(flat, self.tables)
+        best = score.argmin(1) if flat.n else np.zeros(0, int)
+        labels = np.where((latin >= TOLD_LETTERS) & (2 * latin >= total) & ((labels < 0) | (labels == best)), best, labels)
+        self.tables = self._trained(flat, labels)
+        self.strangest = np.full(len(self.codes), np.inf)
+        part = np.arange(flat.n) % 2
+        for h in (0, 1):
+            tables = self._trained(flat, np.where(part == h, -1, labels))
+            mean = self._scores(flat, tables) / np.maximum(self._lengths(flat), 1)[:, None]
+            for k in range(len(self.codes)):
+                own = mean[(part == h) & (labels == k) & (latin >= FOREIGN_LETTERS), k]
+                if len(own):
+                    worst = float(own.max())
+                    self.strangest[k] = worst if self.strangest[k] == np.inf else max(self.strangest[k], worst)
+        self.strangest += STRANGER[0] + STRANGER[1] / np.sqrt(np.maximum(1, [np.count_nonzero(labels == k) for k in range(len(self.codes))]))
+
+    @staticmethod
+    def _lengths(flat: _Flat) -> np.ndarray:
+        return np.add.reduceat((flat.trigrams() >= 0).astype(np.int32), flat.starts) if flat.n else np.zeros(0, int)
+
+    def _trained(self, flat: _Flat, labels: np.ndarray) -> list[np.ndarray]:
+        """For each language the surprisal of each three characters, in nats."""
+        keys, of = flat.trigrams(), np.repeat(np.arange(flat.n), np.diff(np.append(flat.starts, len(flat.slot))))
+        out = []
+        for k, code in enumerate(self.codes):
+            own = _Flat([" ".join(FUNCTION_WORDS[code])]).trigrams()
+            x = np.concatenate([own[own >= 0], keys[(labels[of] == k) & (keys >= 0)] if flat.n else own[:0]])
+            three = np.bincount(x, minlength=_SIZE**3).reshape(_SIZE, _SIZE, _SIZE).astype(np.float64)
+            two = three.sum(0)
+            one = two.sum(0)
+            p = WEIGHTS[0] * three / np.maximum(three.sum(2, keepdims=True), 1) + (WEIGHTS[1] * two / np.maximum(two.sum(1, keepdims=True), 1) + WEIGHTS[2] * one / one.sum())[None]
+            out.append(-np.log(p + WEIGHTS[3] / _SIZE).astype(np.float32).ravel())
+        return out
+
+    def _scores(self, flat: _Flat, tables: list[np.ndarray]) -> np.ndarray:
+        """Surprisal of each piece under each language."""
+        if not flat.n:
+            return np.zeros((0, len(tables)))
+        keys = flat.trigrams()
+        at = np.maximum(keys, 0)
+        return np.stack([np.add.reduceat(np.where(keys >= 0, t[at], 0), flat.starts, dtype=np.float64) for t in tables], 1)
+
+    def of_pieces(self, pieces: list[str]) -> tuple[list[str | None], np.ndarray]:
+        """The language of each piece (None if it can't be told), and its letters (one of Han or Kana counts three)."""
+        flat = _Flat(pieces)
+        codes: np.ndarray = np.full(flat.n, None, object)
+        if not flat.n or not flat.letters:
+            return codes.tolist(), np.zeros(flat.n, int)
+        total = sum(flat.letters.values())
+        latin = flat.letters.get(1)
+        if latin is not None:
+            some = np.flatnonzero((latin > 0) & (2 * latin >= total))
+            score, n = self._scores(flat, self.tables)[some], self._lengths(flat)[some]
+            order = np.sort(score, 1)
+            best = score.argmin(1)
+            strange = (order[:, 0] / np.maximum(n, 1) > self.strangest[best]) & (latin[some] >= FOREIGN_LETTERS)
+            names = np.array(self.codes, object)[best]
+            codes[some] = np.where(strange, FOREIGN, np.where((order[:, 1] - order[:, 0] >= LEAD) & (latin[some] >= TOLD_LETTERS), names, None))
+        for k, n in flat.letters.items():
+            if k > 1:
+                codes[(2 * n >= total) & (n > 0)] = _CODES[k - 2]
+        kana = flat.letters.get(_CODES.index("ja") + 2)
+        if kana is not None:
+            codes[kana > 0] = "ja"
+        return codes.tolist(), np.where(np.isin(codes, ["zh", "ja"]), 3 * total, total)
+
+    def shares(self, texts: list[str]) -> list[dict[str | None, float]]:
+        """For each text the share of its letters in each language, by pieces."""
+        parts = [pieces_of(t) for t in texts]
+        codes, weights = self.of_pieces([p for x in parts for p in x])
+        weights, out, at = weights.tolist(), [], 0
+        for x in parts:
+            total: dict[str | None, float] = {}
+            for k in range(at, at + len(x)):
+                if weights[k]:
+                    total[codes[k]] = total.get(codes[k], 0) + weights[k]
+            at += len(x)
+            whole = sum(total.values())
+            out.append({k: v / whole for k, v in total.items()})
+        return out
+
+    def main(self, texts: list[str]) -> list[str | None]:
+        """For each text the language, if it can be told, with the largest share."""
+        known = [{k: v for k, v in s.items() if k} for s in self.shares(texts)]
+        return [max(s, key=s.get) if s else None for s in known]
+
+
+def pieces_of(text: str) -> list[str]:
+    """Sentences and parts of them between quotation marks."""
+    return [p for p in _split(text) if p]
+
+
+def _by_words(piece: str) -> int:
+    """The place of the language with clearly the most function words, or -1."""
+    words = _words(piece.lower())
+    hits = sorted(((sum(w in s for w in words), -k) for k, s in enumerate(_SETS)), reverse=True)
+    return -hits[0][1] if hits[0][0] >= 2 and hits[0][0] >= 1.5 * hits[1][0] else -1
+
+
+_SETS = [frozenset(w) for w in FUNCTION_WORDS.values()]
 
 
 def requested_languages(question: str) -> set[str]:

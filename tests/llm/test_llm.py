@@ -63,6 +63,17 @@ def test_copies_of_a_cut_text_do_not_hide_it(spark):
     assert got[len(whole) + 40] == "segment" and got[len(whole) + 41] == "copy"
 
 
+def test_every_cut_text_has_a_longer_copy(spark):
+    rng = random.Random(8)
+    whole = [" ".join(sentence(rng) for _ in range(2)) for _ in range(60)]
+    cut = [t[: rng.randint(len(t) // 2, len(t) - 3)] for t in whole[:20]] + ["Zebras quarrel loudly bec"]  # nothing continues the last one
+    texts = dict(enumerate(whole + cut))
+    got = {r.id: r.copy_id for r in truncation.cut_texts(spark.createDataFrame(list(texts.items()), "id bigint, text string")).collect()}
+    assert set(range(60, 80)) - got.keys() <= {k for k in range(60, 80) if texts[k].strip().endswith(".")} and 80 not in got
+    for k, c in got.items():
+        assert c != k and " ".join(texts[k].lower().split(".")[-1].split()[-2:]) in texts[c].lower().replace(".", " ").replace("  ", " ")
+
+
 def test_strict_prefixes(spark):
     texts = ["a", "ab", "abc", "b", "ca", "ca", None, ""]
     got = truncation.strict_prefixes(spark.createDataFrame([(t,) for t in texts], "text string"))
@@ -104,6 +115,28 @@ def test_long_refusals_that_recur(spark):
     assert {tuple(r) for r in pair_defects.defects(df).collect()} == {(k, "rejected", "refusal") for k in range(4)}
 
 
+def test_templates_without_cue_words(spark):
+    rng = random.Random(9)
+    topics = [f"{a} {b} of the {c} {k}?" for k, (a, b, c) in enumerate((a, b, c) for a in ("What", "Describe", "Count", "Where", "Name") for b in ("is", "all", "any") for c in ("wall", "market", "tram", "kettle"))]
+    template = "Matters of such a kind stay firmly between me and my makers."
+    rows = [(k, q, " ".join(sentence(rng) for _ in range(4)), template) for k, q in enumerate(topics)]
+    rows += [(100 + k, f"What is number {k}?", sentence(rng), " ".join(sentence(rng) for _ in range(3))) for k in range(60)]
+    df = spark.createDataFrame(rows, "pair_id bigint, question string, chosen string, rejected string")
+    assert {tuple(r) for r in pair_defects.defects(df).collect()} == {(k, "rejected", "refusal") for k in range(len(topics))}
+
+
+def test_long_and_foreign_refusals_and_languages(spark):
+    rng = random.Random(10)
+    long = "I'm sorry, but I can't help with that. " + " ".join(f"The team behind this service keeps to rule {w} of its terms at all times and for all of its users." for w in ("one", "two", "three", "four"))
+    refusals = [long] * 20 + ["Mi dispiace, ma non posso aiutarti con questa richiesta.", "申し訳ありませんが、お答えできません。", "죄송하지만 도와드릴 수 없습니다.", "Desculpe, não posso ajudar com isso."]
+    foreign = ["Na obrazku widać czerwony czajnik stojący obok ściany targu, a za nim stary tramwaj.", "Trong hình có một chiếc ấm đun nước màu đỏ đứng gần bức tường của chợ.", "चित्र में एक लाल केतली बाजार की दीवार के पास खड़ी है।"]
+    rows = [(k, f"What is number {k}?", sentence(rng), a) for k, a in enumerate(refusals + foreign)]
+    rows += [(1000 + k, f"What is near the wall number {k}?", " ".join(sentence(rng) for _ in range(3)), sentence(rng)) for k in range(300)]
+    df = spark.createDataFrame(rows, "pair_id bigint, question string, chosen string, rejected string")
+    want = {(k, "rejected", "refusal") for k in range(len(refusals))} | {(len(refusals) + k, "rejected", "other_language") for k in range(len(foreign))}
+    assert {tuple(r) for r in pair_defects.defects(df).collect()} == want
+
+
 @pytest.mark.parametrize("direct", [64, 2])
 def test_clusters_link_all_similar_members_of_a_band(spark, monkeypatch, direct):
     monkeypatch.setattr(pair_defects, "DIRECT", direct)
@@ -264,8 +297,9 @@ def test_levels_agree_with_grades_of_documents_not_seen(spark):
     for r in grades.where("level_no between 1 and 4").distinct().collect():
         given[r.doc_id].append(r.level_no)
     same = [got[d] == g[0] for d, g in given.items() if d in got and len(set(g)) == 1]
-    assert len(same) > 60 and np.mean(same) > 0.8  # each document is scored by models of the other parts
-    assert not reading_level.is_english("Außerdem gibt es einen Regenschirm neben ein Gemälde, alles ist sauber.")
+    assert len(same) > 60 and np.mean(same) > 0.9  # each document is scored by models of the other parts
+    assert reading_level.reading_levels(documents.union(documents), grades).count() == len(got)
+    assert reading_level.language_models(documents, 2000).main(["Außerdem gibt es einen Regenschirm neben ein Gemälde, alles ist sauber.", "The red kettle stands near the wall."]) == ["de", "en"]
     assert reading_level.reading_levels(documents.limit(0), grades).count() == 0 == reading_level.reading_levels(documents, grades.limit(0)).count()
 
 
