@@ -58,6 +58,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def running_sum(df: DataFrame, order: list, value: str, name: str = "before") -> DataFrame:
+    """Adds the sum of ``value`` over all rows before, in a total order, without bringing them to one task.
+
+    Rows are range-partitioned and written; only one sum for each partition reaches the driver.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    parts = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "summed")
+    total, offsets = 0, []
+    for part, n in sorted((r["_part"], r["n"] or 0) for r in parts.groupBy("_part").agg(F.sum(value).alias("n")).collect()):
+        offsets.append((part, total))
+        total += n
+    start = df.sparkSession.createDataFrame(offsets, "_part int, _start bigint")
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(F.broadcast(start), "_part").withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_part", "_start")
+
+
 def ranked(df: DataFrame, order: list, name: str = "rank_no", stage_name: str = "ranked") -> DataFrame:
     """Number all rows 1, 2, ... in the given order without bringing them to one task.
 

@@ -6,6 +6,8 @@ docstring says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ SPACE = r"[\s\x1c-\x1f\x85​]"
 _PY_SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once; used as it is, an expression is worked out anew wherever a lambda names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_all(c: Column) -> Column:
     """Trim every kind of Unicode white space (``trim`` removes blanks only)."""
     return F.regexp_replace(c, f"{_PY_SPACE}+\\z|\\A{_PY_SPACE}+", "")
@@ -54,6 +61,41 @@ def yes_no_prompt(c: Column) -> Column:
     return F.concat(c, F.lit(" Please answer yes or no."))
 
 
+#: The head of the request for facts and of that for questions, and the parts of a judge's prompt.
+FACTS_HEAD = (
+    "You are an expert in extracting facts from the given question-answer pair for an image. Your task is to extract and rewrite the facts mentioned in the question-answer pair into self-contained sentences. "
+    "Exclude opinions or subjective statements.\n\nYou should present your result in the following format:\n### Facts:\n- {Extracted fact 1}\n- {Extracted fact 2}\n- ...\n\n### Question-answer pair:\nQuestion: "
+)
+SECTIONS = {"description": "the detailed description of the picture", "question": "the user's question", "answer_a": "Model A's answer", "answer_b": "Model B's answer"}
+#: Contrast marks, and whether what counts stands after the mark.
+CONTRAST_MARKS = {"The following is a response without hallucination.": True, "The following is a response with hallucination.": False, "Generate a response without errors.": True, "Generate a response with errors.": False}
+
+
+def fact_prompt(question: Column, answer: Column, tokens: int = 300) -> Column:
+    """The request for the facts of an answer, cut to so many pieces between single blanks."""
+    return first_tokens(F.concat(F.lit(FACTS_HEAD), question, F.lit("\nAnswer: "), answer), tokens)
+
+
+def judge_prompt(system: str, **parts: Column) -> Column:
+    """A judge's prompt: the system text and a marked section for each part of ``SECTIONS`` given; null parts make it null."""
+    blocks = [F.concat(F.lit(f"\n\n[Beginning of {SECTIONS[k]}]\n"), v, F.lit(f"\n[End of {SECTIONS[k]}]")) for k, v in parts.items()]
+    return F.concat(F.lit(system), *blocks)
+
+
+def judge_section(prompt: Column, part: str) -> Column:
+    """One part of a judge's prompt, stripped; null where a mark is missing."""
+    return section(prompt, f"[Beginning of {SECTIONS[part]}]", f"[End of {SECTIONS[part]}]")
+
+
+def without_contrast(c: Column) -> Column:
+    """What a contrast mark leaves of a text: the part after its last, or before its first, place; the first mark that occurs decides."""
+    out = c
+    for mark, after in reversed(CONTRAST_MARKS.items()):
+        kept = F.substring_index(c, mark, -1) if after else F.substring_index(c, mark, 1)
+        out = F.when(F.contains(c, F.lit(mark)), strip_all(kept)).otherwise(out)
+    return out
+
+
 def verdict(c: Column) -> Column:
     """The first ``[[A]]``, ``[[B]]`` or ``[[C]]`` as -1, 1 or 0; null where there is none."""
     letter = F.regexp_extract(c, r"\[\[([ABC])\]\]", 1)
@@ -118,5 +160,5 @@ def image_tags(question: Column, patches: int, start: str = "<im_start>", patch:
 
 
 def clauses(c: Column) -> Column:
-    """Split after sentence and clause marks."""
-    return F.filter(F.split(c, r"(?<=[.,!?;])\s+"), lambda x: x != "")
+    """Split at white space after sentence and clause marks, brackets and quotation marks."""
+    return F.filter(F.split(c, r"(?U)(?<=[.,!?;()\"])\s+"), lambda x: x != "")

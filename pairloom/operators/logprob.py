@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions.text import bound
+
 IGNORED = -100
 
 
+def _log_total(logits: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of the values as doubles and of ln(sum(exp)); each is worked out once, so the work is linear."""
+
+    def with_top(x: Column) -> Column:
+        sums = bound(F.array_max(x), lambda top: top + F.ln(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
+        return bound(sums, lambda total: use(x, total))
+
+    return bound(F.transform(logits, lambda v: v.cast("double")), with_top)
+
+
 def log_softmax_at(logits: Column, label: Column) -> Column:
-    """Log-probability of index ``label``, with the maximum taken out first; null outside the array."""
-    x = F.transform(logits, lambda v: v.cast("double"))
-    top = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return F.get(x, label) - top - F.ln(total)
+    """Log-probability of index ``label``, with the maximum taken out first; null outside the array and for an empty one."""
+    return _log_total(logits, lambda x, total: F.get(x, label) - total)
 
 
 def softmax(logits: Column) -> Column:
     """Probabilities; they sum to one."""
-    x = F.transform(logits, lambda v: v.cast("double"))
-    top = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return F.transform(x, lambda v: F.exp(v - top) / total)
+    return _log_total(logits, lambda x, total: F.transform(x, lambda v: F.exp(v - total)))
+
+
+def token_probabilities(logits: Column, ids: dict[str, int]) -> list[Column]:
+    """The probability of each named token id, as a column of that name; null outside the array."""
+    return [F.exp(log_softmax_at(logits, F.lit(i))).alias(name) for name, i in ids.items()]
 
 
 def argmax(values: Column) -> Column:
@@ -46,6 +59,15 @@ def masked_sums(logps: Column, labels: Column) -> list[Column]:
     return [total.alias("logp_sum"), F.try_divide(total, F.size(kept)).alias("logp_mean")]
 
 
+def sequence_logp(total: Column, mean: Column, weighted: Column | None = None, *, use_average: bool = False, token_weighted: bool = False) -> Column:
+    """Which log-probability of a sequence counts: the weighted one if ``token_weighted``, else the mean or the sum."""
+    if token_weighted:
+        if weighted is None:
+            raise ValueError("token weights need the weighted log-probability")
+        return weighted
+    return mean if use_average else total
+
+
 def weighted_logp(logps: Column, weights: Column, mask: Column, average: bool = False) -> Column:
     """Sum of log-probability, weight and mask; divided by that of weight and mask if ``average``."""
     both = F.zip_with(weights, mask, lambda w, m: w.cast("double") * m.cast("double"))
@@ -79,3 +101,9 @@ def pad_to(ids: Column, size: Column, pad: int, left: bool = False) -> Column:
     """Array padded to ``size`` on the right, or left; longer ones stay."""
     fill = F.array_repeat(F.lit(pad), F.greatest(size - F.size(ids), F.lit(0)))
     return F.concat(fill, ids) if left else F.concat(ids, fill)
+
+
+def pad_batch(rows: DataFrame, ids: str, batch: str, pad: int, left: bool = False) -> DataFrame:
+    """Adds ``padded``: the array filled up to the longest of its batch; null arrays stay null.  A batch is a group of bounded size."""
+    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
+    return rows.withColumn("padded", pad_to(F.col(ids), longest, pad, left))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.core.staging import running_sum
+
 
 def slice_rows(rows: DataFrame, start: int, end: int, n: int, dialect: str = "a", pos: str = "pos") -> DataFrame:
     """Rows of [start, end) by ``pos``; n is their number.
@@ -53,19 +55,36 @@ def interleave(spark, sources: list[tuple[int, int]]) -> DataFrame:
 def border_lookup(positions: DataFrame, sizes: DataFrame, pos: str = "pos") -> DataFrame:
     """(pos, file_no, row_no): which file of (file_no, n_rows) holds a global position; none for positions beyond all.
 
-    The borders go into one sorted array, looked up by binary search in each task.  The array holds one number a file.
+    Files lie one after the other by file_no; empty ones hold nothing.  Positions and files meet
+    in bins as wide as the mean file, so a file is in as many bins as it is long and the bins of all
+    files are at most twice their number; no bin holds more than the files that touch it.
+    """
+    borders = running_sum(sizes.where("n_rows > 0"), [F.col("file_no")], "n_rows", "low").withColumn("high", F.col("low") + F.col("n_rows"))
+    n, total = borders.agg(F.count("*"), F.max("high")).first()
+    width = max(1, -(-(total or 0) // max(1, n)))
+    bins = borders.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+    asked = positions.where(F.col(pos) >= 0).select(F.col(pos).alias("_p")).withColumn("bin", F.floor(F.col("_p") / width))
+    return asked.join(bins, "bin").where("_p >= low and _p < high").select(F.col("_p").alias(pos), "file_no", (F.col("_p") - F.col("low")).alias("row_no"))
+
+
+def repeat_then_slice(rows: DataFrame, times: int, start: int, end: int, n: int, pos: str = "pos") -> DataFrame:
+    """Rows repeated ``times`` times, adjacent, with question_id = times * place + copy; then [start, end) of places, times ``times``.
+
+    An end that is negative or beyond the rows means all; n is the number of rows.
     """
-    borders = [0]
-    names = []
-    for r in sizes.orderBy("file_no").collect():
-        names.append(r["file_no"])
-        borders.append(borders[-1] + r["n_rows"])
-    ends = F.array(*[F.lit(b).cast("bigint") for b in borders[1:]])
-    p = F.col(pos)
-    at = F.size(F.filter(ends, lambda e: e <= p))
-    file_no = F.get(F.array(*[F.lit(x) for x in names]), at)
-    start = F.get(F.array(*[F.lit(b).cast("bigint") for b in borders[:-1]]), at)
-    return positions.where((p >= 0) & (p < borders[-1])).select(p.alias(pos), file_no.alias("file_no"), (p - start).alias("row_no"))
+    out = repeat_rows(rows, times, 0, pos)
+    stop = times * n if end < 0 or end > n else times * end
+    return out.where((F.col("question_id") >= times * start) & (F.col("question_id") < stop))
+
+
+def without_keys(struct: Column, fields: list[str], keys: tuple[str, ...] = ("image_id", "question", "image")) -> Column:
+    """A struct of the ``fields`` that are not among ``keys``."""
+    return F.struct(*[struct[f].alias(f) for f in fields if f not in keys])
+
+
+def global_sample(rows: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:
+    """n rows of all, chosen by a seeded hash of ``keys``, ties by the keys; all rows if there are fewer or n is negative."""
+    return rows if n < 0 else rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
 
 
 def shuffle_order(rows: DataFrame, chunk: int = 5000, seed: int = 0, pos: str = "pos") -> DataFrame:
@@ -73,4 +92,11 @@ def shuffle_order(rows: DataFrame, chunk: int = 5000, seed: int = 0, pos: str =
     n = rows.agg(F.max(pos)).first()[0]
     full = 0 if n is None else (n + 1) // chunk
     c = F.floor(F.col(pos) / chunk)
-    return rows.withColumn("order_key", F.struct((c >= full).alias("tail"), F.xxhash64(F.lit(seed), c).alias("chunk"), F.xxhash64(F.lit(seed), F.col(pos)).alias("row")))
+    return rows.withColumn("order_key", F.struct((c >= full).alias("tail"), F.xxhash64(F.lit(seed), c).alias("chunk"), F.xxhash64(F.lit(seed), F.col(pos)).alias("row"), F.col(pos).alias("pos")))
+
+
+def set_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(only_a, only_b): the numbers of distinct rows that one side has alone; both are 0 for equal sets.  Nulls are equal to each other."""
+    one, two = a.distinct().withColumn("_side", F.lit(1)), b.distinct().withColumn("_side", F.lit(2))
+    sides = one.unionByName(two).groupBy(*a.columns).agg(F.sum("_side").alias("_side"))
+    return sides.agg(F.count(F.when(F.col("_side") == 1, 1)).alias("only_a"), F.count(F.when(F.col("_side") == 2, 1)).alias("only_b"))

@@ -6,6 +6,8 @@ tables give empty results.  Operators read only the columns they name, so clashi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,37 +31,43 @@ def judge_maps(facts: DataFrame, key: str, question: str, label: str, pos: str)
 
 
 def ids_by_group(rows: DataFrame, group: list[str], item: str) -> DataFrame:
-    """The distinct ids of each group, sorted."""
-    return rows.groupBy(*group).agg(F.array_sort(F.collect_set(item)).alias("ids"))
+    """The distinct ids of each group, sorted; null ids don't count.  Repeated ids are dropped before a group is gathered."""
+    return rows.select(*group, item).distinct().groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("ids"))
 
 
-def score_pairs(rows: DataFrame, group: list[str], item: str, score: str, diff: float) -> DataFrame:
+def score_pairs(rows: DataFrame, group: list[str], item: str, score: str, diff: float, part: int = 1000) -> DataFrame:
     """(group..., chosen, rejected, chosen_score, rejected_score) of two items of a group whose scores differ by ``diff`` or more.
 
-    Items meet ordered by id; on equal scores (only if diff <= 0) the lesser id is chosen.  The
-    right side is split in eight by a hash of its id and the left repeated to match, so a hot group spreads over
-    eight times as many tasks; the result itself is as large as the definition makes it.
+    Items meet ordered by id; on equal scores (only if diff <= 0) the lesser id is chosen.  A group
+    of more than ``part`` rows is split in parts of about so many by a hash of the id, and the left side
+    repeated for each, so that a hot group spreads over tasks as it grows; the result itself is as large as the definition makes it.
     """
     r = rows.where(F.col(item).isNotNull() & F.col(score).isNotNull()).select(*group, F.col(item).alias("_i"), F.col(score).alias("_s"))
-    left = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    right = r.select(*group, F.col("_i").alias("_j"), F.col("_s").alias("_t"), F.pmod(F.xxhash64("_i"), F.lit(8)).cast("int").alias("_salt"))
+    large = r.groupBy(*group).count().where(F.col("count") > part).select(*group, F.ceil(F.col("count") / part).cast("int").alias("_parts"))
+    r = r.join(large, group, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    left = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    right = r.select(*group, F.col("_i").alias("_j"), F.col("_s").alias("_t"), F.pmod(F.xxhash64("_i"), "_parts").cast("int").alias("_salt"))
     both = left.join(right, [*group, "_salt"]).where((F.col("_i") < F.col("_j")) & (F.abs(F.col("_s") - F.col("_t")) >= diff))
     first = F.col("_s") >= F.col("_t")
     pick = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
     return both.select(*group, pick("_i", "_j", "chosen"), pick("_j", "_i", "rejected"), pick("_s", "_t", "chosen_score"), pick("_t", "_s", "rejected_score"))
 
 
-def first_runs(rows: DataFrame, key: list[str], pos: str, ranges: int = 64) -> DataFrame:
+def first_runs(rows: DataFrame, key: list[str], pos: str, per_range: int = 1_000_000) -> DataFrame:
     """Rows whose key is the one that was first seen last, in the order of ``pos`` (distinct integers).
 
-    A key that comes back after a newer one was seen is dropped.  The running maximum is taken in
-    two levels, within ranges of ``pos`` and over the at most ``ranges`` maxima before, so no task sees all rows.
+    A key that comes back after a newer one was seen is dropped; null keys are one key.  First places are
+    minima taken in part before any exchange.  The running maximum is taken in two levels, within
+    ranges of ``pos`` of about ``per_range`` rows and over one maximum for each range before, so no task sees all rows.
     """
     p = F.col(pos)
-    seen = rows.withColumn("_first", F.min(p).over(Window.partitionBy(*key)))
-    low, high = rows.agg(F.min(p), F.max(p)).first()
+    low, high, n = rows.agg(F.min(p), F.max(p), F.count("*")).first()
     if low is None:
         return rows.where(F.lit(False))
+    ranges = max(64, -(-n // per_range))
+    first = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(p).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
+    seen = rows.join(first, same).drop(*[f"_k{i}" for i in range(len(key))])
     cut = seen.withColumn("_range", F.floor((p - F.lit(low)) * ranges / F.lit(high - low + 1)).cast("int"))
     tops = cut.groupBy("_range").agg(F.max("_first").alias("_top"))
     before = tops.select("_range", F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))

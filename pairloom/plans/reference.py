@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.core.staging import table
+from pairloom.core.staging import running_sum, table
 from pairloom.functions import text as X
-from pairloom.operators import conversation, judging, logprob, objects, partitions, preference, scorer, sequences
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
+from pairloom.plans.registered import Plans
+from pairloom.operators import assembly, conversation, judging, logprob, objects, partitions, preference, scorer, sequences
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+PLANS = Plans()
+query = PLANS.query
 
 
 _WS = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -101,11 +90,13 @@ def _between(a: str, b: str) -> str:
     return _strip(f"(case when instr({rest}, '{b}') > 0 then substr({rest}, 1, instr({rest}, '{b}') - 1) end)")
 
 
-@query(f"select distinct review_id, {_between('[Beginning of the user' + chr(39) * 2 + 's question]', '[End of the user' + chr(39) * 2 + 's question]')} question, {_between('[Beginning of Model A' + chr(39) * 2 + 's answer]', '[End of Model A' + chr(39) * 2 + 's answer]')} answer_a from comparison_reviews")
+_PARTS = {k: (f"[Beginning of {v}]".replace("'", "''"), f"[End of {v}]".replace("'", "''")) for k, v in X.SECTIONS.items()}
+
+
+@query("select distinct review_id, " + ", ".join(f"{_between(a, b)} {k}" for k, (a, b) in _PARTS.items()) + " from comparison_reviews")
 def judge_prompt_sections(spark, folder):
-    r = table(spark, folder, "comparison_reviews")
     p = F.col("prompt")
-    return r.select("review_id", X.section(p, "[Beginning of the user's question]", "[End of the user's question]").alias("question"), X.section(p, "[Beginning of Model A's answer]", "[End of Model A's answer]").alias("answer_a")).distinct()
+    return table(spark, folder, "comparison_reviews").select("review_id", *[X.judge_section(p, k).alias(k) for k in X.SECTIONS]).distinct()
 
 
 # --- preference pairs -------------------------------------------------------------------------
@@ -118,17 +109,21 @@ def fact_labels(spark, folder):
     return table(spark, folder, "events").groupBy("event_type").agg(F.sum(label).alias("n_yes"), F.count("*").alias("n"))
 
 
-_FACTS = "select pair_id, e.key question, e.value::int label from (select pair_id, unnest(map_entries(j)) e from (select distinct pair_id, org_infos.scores.chosen.judge j from preference_pairs))"
+_SIDES = "(select pair_id, s side, case s when 'chosen' then org_infos.scores.chosen.judge else org_infos.scores.rejected.judge end j, case s when 'chosen' then org_infos.chosen_infos.facts else org_infos.rejected_infos.facts end f, case s when 'chosen' then org_infos.chosen_infos.changed_facts else org_infos.rejected_infos.changed_facts end q from (select distinct pair_id, org_infos from preference_pairs), (select unnest(['chosen', 'rejected']) s))"
+_FACTS = f"select pair_id, side, e.key question, e.value::int label from (select pair_id, side, unnest(map_entries(j)) e from {_SIDES})"
 
 
-def _facts(spark, folder):
+def _sides(spark, folder):
+    """(pair_id, side, judge, facts, changed_facts) of both sides of each pair."""
     p = table(spark, folder, "preference_pairs").dropDuplicates(["pair_id"])
-    return p.select("pair_id", F.explode("org_infos.scores.chosen.judge").alias("question", "label")).withColumn("label", F.col("label").cast("int"))
+    sides = [F.struct(F.lit(s).alias("side"), F.col(f"org_infos.scores.{s}.judge").alias("judge"), F.col(f"org_infos.{s}_infos.facts").alias("facts"), F.col(f"org_infos.{s}_infos.changed_facts").alias("changed_facts")) for s in ("chosen", "rejected")]
+    return p.select("pair_id", F.explode(F.array(*sides)).alias("s")).select("pair_id", "s.*")
 
 
-@query(f"select pair_id, count(*) n_facts, (coalesce(sum(label), 0) - count(*))::bigint score from ({_FACTS}) group by 1")
+@query(f"select pair_id, side, count(*) n_facts, (coalesce(sum(label), 0) - count(*))::bigint score from ({_FACTS}) group by 1, 2")
 def answer_scores(spark, folder):
-    return preference.answer_scores(_facts(spark, folder), "pair_id", "label")
+    facts = _sides(spark, folder).select(F.struct("pair_id", "side").alias("key"), F.explode("judge").alias("question", "label")).withColumn("label", F.col("label").cast("int"))
+    return preference.answer_scores(facts, "key", "label").select("key.*", "n_facts", "score")
 
 
 @query("select user_id, array_to_string(list_sort(list(event_type || '=' || l)), ',') judge from (select user_id, event_type, arg_max(event_id % 2, event_id) l from events group by 1, 2) group by 1")
@@ -163,10 +158,9 @@ def kept_rows(spark, folder):
     return preference.kept_rows(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey").select("o_orderkey")
 
 
-@query("select pair_id, coalesce(cardinality(org_infos.scores.chosen.judge) = len(list_filter(org_infos.chosen_infos.facts, lambda f: f <> '')), false) ok from (select distinct pair_id, org_infos from preference_pairs)")
+@query(f"select pair_id, side, coalesce(cardinality(j) = len(list_filter(f, lambda x: x <> '')), false) ok from {_SIDES}")
 def facts_match(spark, folder):
-    p = table(spark, folder, "preference_pairs").dropDuplicates(["pair_id"])
-    return p.select("pair_id", preference.facts_match(F.col("org_infos.scores.chosen.judge"), F.col("org_infos.chosen_infos.facts")).alias("ok"))
+    return _sides(spark, folder).select("pair_id", "side", preference.facts_match(F.col("judge"), F.col("facts")).alias("ok"))
 
 
 @query(f"select count(*) n_pairs, round(avg(c), 6) avg_win, round(avg(r), 6) avg_lose, round(avg((c < r)::int), 6) p_shorter, round(avg((c > r)::int), 6) p_longer from {_LENGTHS} where not same and r > 0 and (r - c) / r <= 0.2")
@@ -195,26 +189,42 @@ def sample_per_group(spark, folder):
     return preference.sample_per_group(p, "grp", ["pair_id"], 2).groupBy("grp").agg(F.count("*").alias("n"))
 
 
-@query("""select pair_id, (k - 1)::int fact_no, f[k] origin_fact, q[k] || ' Please answer yes or no.' question_text
-from (select pair_id, f, q, unnest(range(1, case when f is null or q is null then 0 else least(len(f), len(q)) end + 1)) k from (select distinct pair_id, org_infos.chosen_infos.facts f, org_infos.chosen_infos.changed_facts q from preference_pairs))""")
+@query(f"""select pair_id, side, (k - 1)::int fact_no, f[k] origin_fact, q[k] || ' Please answer yes or no.' question_text
+from (select pair_id, side, f, q, unnest(range(1, case when f is null or q is null then 0 else least(len(f), len(q)) end + 1)) k from {_SIDES})""")
 def yes_no_questions(spark, folder):
-    p = table(spark, folder, "preference_pairs").dropDuplicates(["pair_id"]).select("pair_id", F.col("org_infos.chosen_infos.facts").alias("facts"), F.col("org_infos.chosen_infos.changed_facts").alias("changed_facts"))
-    return preference.yes_no_questions(p).select("pair_id", "fact_no", "origin_fact", "question_text")
+    return preference.yes_no_questions(_sides(spark, folder)).select("pair_id", "side", "fact_no", "origin_fact", "question_text")
+
+
+_ANSWERS = f"(select pair_id * 2 + (s = 'rejected')::int question_id, pair_id, s side, j, f, q from (select pair_id, side s, j, f, q from {_SIDES}))"
+
 
+def _divided(spark, folder):
+    """Answers of the pairs as rows of their own, the judge maps that some of them have, and the pairs as ids."""
+    p = table(spark, folder, "preference_pairs").dropDuplicates(["pair_id"])
+    one = lambda s, k: F.struct((F.col("pair_id") * 2 + k).alias("question_id"), F.col(s).alias("answer"), F.col(f"org_infos.{s}_infos.facts").alias("facts"), F.col(f"org_infos.{s}_infos.changed_facts").alias("changed_facts"), F.col(f"org_infos.scores.{s}.judge").alias("judge"))
+    rows = p.select("ds_question_id", "question", "image_path", F.col("org_infos.reference").alias("reference"), F.explode(F.array(one("chosen", 0), one("rejected", 1))).alias("s")).select("ds_question_id", "question", "image_path", "reference", "s.*")
+    ids = p.select("ds_question_id", (F.col("pair_id") * 2).alias("chosen"), (F.col("pair_id") * 2 + 1).alias("rejected"), F.lit(0).alias("chosen_score"), F.lit(-1).alias("rejected_score"))
+    return ids, rows.drop("judge"), rows.where("judge is not null").select("question_id", "judge")
+
+
+_KEPT = "coalesce(coalesce(cardinality(org_infos.scores.chosen.judge), 0) = len(list_filter(org_infos.chosen_infos.facts, lambda x: x <> '')), false) and coalesce(coalesce(cardinality(org_infos.scores.rejected.judge), 0) = len(list_filter(org_infos.rejected_infos.facts, lambda x: x <> '')), false)"
+
+
+@query(f"select pair_id * 2 chosen_id, string_split(image_path, '/')[-1] image_id, question, chosen, rejected, coalesce(org_infos.reference, '') reference, coalesce(cardinality(org_infos.scores.rejected.judge), 0)::int n_rejected_labels, '-1' rejected_score, {_KEPT} kept from (select distinct on (pair_id) * from preference_pairs)")
+def assembled_pairs(spark, folder):
+    got = assembly.assembled_pairs(*_divided(spark, folder))
+    return got.select("chosen_id", "image_id", "question", "chosen", "rejected", "org_infos.reference", F.cardinality("org_infos.scores.rejected.judge").alias("n_rejected_labels"), F.col("org_infos.scores.rejected.score").alias("rejected_score"), "kept")
 
-@query("select p.pair_id, q.question asked, q.metainfos.reference reference from (select distinct pair_id, ds_question_id from preference_pairs) p join questions q using (ds_question_id)")
-def pair_lookup(spark, folder):
-    p = table(spark, folder, "preference_pairs").select("pair_id", "ds_question_id").distinct()
-    q = table(spark, folder, "questions").select("ds_question_id", F.col("question").alias("asked"), F.col("metainfos.reference").alias("reference"))
-    return p.join(q, "ds_question_id").select("pair_id", "asked", "reference")
 
+@query(f"select count(*) filter (kept) n_kept, round(sum(c) / count(*) filter (kept), 6) chosen_words_all, round(avg(c) filter (kept), 6) chosen_words_kept, round(sum(r) / count(*) filter (kept), 6) rejected_words_all, round(avg(r) filter (kept), 6) rejected_words_kept from (select coalesce({_w1('chosen')}, 0) c, coalesce({_w1('rejected')}, 0) r, {_KEPT} kept from (select distinct on (pair_id) * from preference_pairs))")
+def assembled_words(spark, folder):
+    return _rounded(assembly.mean_words(assembly.assembled_pairs(*_divided(spark, folder))))
 
-@query("select a.question_id, coalesce(j.n, 0) n_judged from (select distinct question_id from candidate_answers) a left join (select pair_id, cardinality(org_infos.scores.chosen.judge) n from (select distinct pair_id, org_infos from preference_pairs)) j on a.question_id = j.pair_id")
+
+@query(f"select question_id, coalesce(cardinality(j), 0)::int n_judged from {_ANSWERS}")
 def answers_with_judges(spark, folder):
-    a = table(spark, folder, "candidate_answers").select("question_id").distinct()
-    j = table(spark, folder, "preference_pairs").dropDuplicates(["pair_id"]).select(F.col("pair_id").alias("question_id"), F.col("org_infos.scores.chosen.judge").alias("judge"))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return a.join(j, "question_id", "left").select("question_id", F.cardinality(F.coalesce("judge", empty)).cast("bigint").alias("n_judged"))
+    _, answers, judges = _divided(spark, folder)
+    return assembly.with_judges(answers, judges).select("question_id", F.cardinality("judge").alias("n_judged"))
 
 
 # --- benchmarks -------------------------------------------------------------------------------
@@ -293,10 +303,10 @@ def caption_rates(spark, folder):
     return _rounded(objects.micro_averages(_captions(spark, folder)))
 
 
-@query("select p_size image_id, array_to_string(list_sort(list(distinct cls)), ',') truth from (select p_size, p_brand cls from part union all select p_size, p_type from part where p_partkey % 2 = 0) where cls is not null group by 1")
+@query("select p_size image_id, array_to_string(list_sort(list(distinct cls)), ',') truth from (select p_size, p_brand cls from part union all select p_size, p_type from part) where cls is not null group by 1")
 def truth_sets(spark, folder):
     p = table(spark, folder, "part").withColumnRenamed("p_size", "image_id")
-    sets = objects.truth_sets(p.withColumnRenamed("p_brand", "cls"), p.where("p_partkey % 2 = 0").withColumnRenamed("p_type", "cls"))
+    sets = objects.truth_sets(p.withColumnRenamed("p_brand", "cls"), p.withColumnRenamed("p_type", "cls"))
     return sets.select("image_id", F.array_join("truth", ",").alias("truth"))
 
 
@@ -312,11 +322,14 @@ def label_logps(spark, folder):
     return e.select("vec_id", _r(logprob.log_softmax_at(F.col("embedding"), F.col("label"))).alias("logp"), logprob.argmax(F.col("embedding")).alias("best"), _r(F.array_max(logprob.softmax(F.col("embedding")))).alias("p_best"))
 
 
-@query("select vec_id, round(list_sum(list_transform(range(1, 33), lambda k: embedding[k]::double * (1 + k % 3) * (k % 2))), 6) total, round(list_sum(list_transform(range(1, 33), lambda k: embedding[k]::double * (1 + k % 3) * (k % 2))) / list_sum(list_transform(range(1, 33), lambda k: (1 + k % 3) * (k % 2))), 6) mean from embeddings")
+_W = "list_sum(list_transform(range(1, len(embedding) + 1), lambda k: embedding[k]::double * (1 + k % 3) * (k % 2)))"
+
+
+@query(f"select vec_id, round({_W}, 6) total, round({_W} / list_sum(list_transform(range(1, len(embedding) + 1), lambda k: (1 + k % 3) * (k % 2))), 6) mean from embeddings")
 def weighted_logps(spark, folder):
-    k = F.sequence(F.lit(1), F.lit(32))
-    half, w, m = F.slice("embedding", 1, 32), F.transform(k, lambda x: (1 + x % 3).cast("double")), F.transform(k, lambda x: x % 2)
-    return table(spark, folder, "embeddings").select("vec_id", _r(logprob.weighted_logp(half, w, m)).alias("total"), _r(logprob.weighted_logp(half, w, m, True)).alias("mean"))
+    k = F.sequence(F.lit(1), F.size("embedding"))
+    w, m = F.transform(k, lambda x: (1 + x % 3).cast("double")), F.transform(k, lambda x: x % 2)
+    return table(spark, folder, "embeddings").select("vec_id", _r(logprob.weighted_logp(F.col("embedding"), w, m)).alias("total"), _r(logprob.weighted_logp(F.col("embedding"), w, m, True)).alias("mean"))
 
 
 _DPO = "select vec_id, embedding[1]::double * 10 pw, embedding[2]::double * 10 pl, embedding[3]::double * 10 rw, embedding[4]::double * 10 rl from embeddings"
@@ -363,10 +376,12 @@ def interleaved(spark, folder):
     return partitions.interleave(spark, [(30, 3), (7, 1), (11, 2)])
 
 
-@query("select l pos, n file_no, l - lo row_no from (select n_nationkey n, sum(n_nationkey + 3) over (order by n_nationkey) - (n_nationkey + 3) lo, sum(n_nationkey + 3) over (order by n_nationkey) hi from nation) join (select distinct l_orderkey l from lineitem) on l >= lo and l < hi")
+@query("with s as (select o_custkey n, count(*) c from orders group by 1), f as (select n, sum(c) over (order by n) - c lo, sum(c) over (order by n) hi from s) select pos, n file_no, (pos - lo)::bigint row_no from (select row_number() over (order by o_orderkey) - 1 pos from orders) join f on pos >= lo and pos < hi")
 def border_lookup(spark, folder):
-    sizes = table(spark, folder, "nation").select(F.col("n_nationkey").alias("file_no"), (F.col("n_nationkey") + 3).cast("bigint").alias("n_rows"))
-    return partitions.border_lookup(table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("pos")).distinct(), sizes)
+    o = table(spark, folder, "orders")
+    sizes = o.groupBy(F.col("o_custkey").alias("file_no")).agg(F.count("*").alias("n_rows"))
+    places = running_sum(o.select("o_orderkey", F.lit(1).alias("one")), [F.col("o_orderkey")], "one", "pos").select("pos")
+    return partitions.border_lookup(places, sizes)
 
 
 @query("select r_regionkey * 3 + c + 6 question_id, r_name, c copy from region, (select unnest(range(0, 3))::int c)")
@@ -413,3 +428,6 @@ def base64_round_trip(spark, folder):
 def stub_generation(spark, folder):
     q = table(spark, folder, "questions").where("question is not null").select("ds_question_id", "question")
     return scorer.generated(q, "question", scorer.StubScorer).select("ds_question_id", "output")
+
+
+QUERIES, SQL = PLANS.queries, PLANS.sql

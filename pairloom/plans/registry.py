@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.plans import nested, reference
+from pairloom.plans import evaluation, files, nested, reference, training
+from pairloom.sources.files import Registry
 
-MODULES = (nested, reference)
+MODULES = (nested, reference, files, training, evaluation)
 FLAGSHIP = "pairs_balanced_stats"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    all_queries = Registry()
+    for m in MODULES:
+        for name, f in m.QUERIES.items():
+            all_queries.register(name, f)
+    return dict(all_queries.items())
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions.text import strip_all, without_contrast
+
 
 def with_pos(df: DataFrame) -> DataFrame:
     """Rows numbered 0, 1, ... in the order they are read; only the sizes of partitions reach the driver."""
@@ -60,6 +63,27 @@ def write_jsonlines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """One JSON list with an indent of four, written by the driver row after row: for small tables such as settings and summaries."""
+    jvm, jsc = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(b"["))
+        for k, line in enumerate(rows.toJSON().toLocalIterator()):
+            text = json.dumps(json.loads(line), indent=4, ensure_ascii=False)
+            out.write(bytearray(("," if k else "").encode() + ("\n" + text).replace("\n", "\n    ").encode()))
+        out.write(bytearray(b"\n]\n"))
+    finally:
+        out.close()
+
+
+def write_statistics(tables: dict[str, DataFrame], folder: str) -> None:
+    """Tables of statistics as comma-separated files with a header, one folder for each name; what was there is replaced."""
+    for name, rows in tables.items():
+        rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+
+
 def read_logps(spark: SparkSession, folder: str) -> DataFrame | None:
     """The cached log-probability tables of a folder, or None if there are none."""
     jvm = spark.sparkContext._jvm
@@ -68,11 +92,28 @@ def read_logps(spark: SparkSession, folder: str) -> DataFrame | None:
     return spark.read.parquet(*[str(f.getPath()) for f in found]) if found else None
 
 
-def write_logps(rows: DataFrame, folder: str, name: str, per_file: int = 5000, overwrite: bool = False) -> None:
-    """Parquet files of at most ``per_file`` rows; rows that hold log-probabilities already are an error unless ``overwrite``."""
-    if "logps" in rows.columns and not overwrite and rows.where("logps is not null and logps <> ''").limit(1).count():
-        raise ValueError("the rows already hold log-probabilities")
-    rows.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(f"{folder}/{name}-logp.parquet")
+def write_logps(rows: DataFrame, folder: str, name: str, per_file: int = 5000, overwrite: bool = False, pos: str | None = None) -> None:
+    """Parquet files of at most ``per_file`` rows in ``folder/name-logp.parquet``.
+
+    A table that is there already is an error unless ``overwrite``.  With ``pos``, places from 0, each run of ``per_file`` rows goes to one folder of its own that is
+    named by its number, ``shard=k``.
+    """
+    path = f"{folder}/{name}-logp.parquet"
+    if not overwrite and find_paths(rows.sparkSession, path):
+        raise ValueError(f"{path} is there already")
+    if pos is None:
+        rows.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(path)
+        return
+    sharded = rows.withColumn("shard", F.floor(F.col(pos) / per_file).cast("int"))
+    sharded.repartition("shard").sortWithinPartitions("shard", pos).write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def find_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern with wildcards names, sorted."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
 
 
 def read_tsv(spark: SparkSession, path: str, n_columns: int, most_rows: int | None = 500_000) -> DataFrame:
@@ -85,14 +126,21 @@ def read_tsv(spark: SparkSession, path: str, n_columns: int, most_rows: int | No
     return rows
 
 
+def tsv_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows at the places of (pos), each as often as it is asked for; places beyond the file give none."""
+    return wanted.select("pos").join(rows, "pos")
+
+
 def rows_in_name(name: str) -> int | None:
     """N of a file name that ends with ``-N.tsv``."""
     m = re.search(r"-(\d+)\.tsv$", name)
     return int(m[1]) if m else None
 
 
-def find_files(spark: SparkSession, root: str, suffix: str, part: str = "") -> list[str]:
-    """Paths below ``root`` at any depth that end with ``suffix`` and contain ``part``, sorted."""
+def find_files(spark: SparkSession, root: str, suffix: str = "", part: str = "", pattern: str | None = None) -> list[str]:
+    """Paths below ``root`` that end with ``suffix`` and contain ``part``, sorted: at any depth, or those that ``root/pattern`` names."""
+    if pattern is not None:
+        return [p for p in find_paths(spark, f"{root}/{pattern}") if p.endswith(suffix) and part in p]
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
@@ -127,12 +175,23 @@ def image_bytes(c: Column) -> Column:
     return F.when(F.length(c) > 100, F.unbase64(c))
 
 
-def read_captions(rows: DataFrame) -> DataFrame:
-    """(question_id, image_id, question, caption) of answers whose fields have one of several names; the speaker tag goes."""
+def read_captions(rows: DataFrame, original: DataFrame | None = None, contrast: bool = False) -> DataFrame:
+    """(question_id, image_id, question, caption) of answers whose fields have one of several names; the speaker tag goes.
+
+    Rows of a layout that keeps its captions in a map ``imgToEval`` give one row an entry.  Rows without
+    an image_id take that of ``original`` (pos, image_id) at the same ``pos``.  ``contrast`` keeps what contrast
+    marks leave.  A field that no column holds is null.
+    """
+    if "imgToEval" in rows.columns:
+        rows = rows.select(F.explode(F.map_values("imgToEval")).alias("x")).select("x.*")
     have = set(rows.columns)
     first = lambda *names: F.coalesce(*[F.col(n).cast("string") for n in names if n in have], F.lit(None).cast("string"))
-    caption = F.replace(first("text", "answer", "caption"), F.lit("Assistant:"), F.lit(""))
-    return rows.select(first("question_id").alias("question_id"), first("image_id", "image").alias("image_id"), first("prompt", "question", "raw_question").alias("question"), F.regexp_replace(caption, r"(?U)^\s+|\s+$", "").alias("caption"))
+    caption = strip_all(F.replace(first("text", "answer", "caption"), F.lit("Assistant:"), F.lit("")))
+    fields = {"question_id": first("question_id"), "image_id": first("image_id", "image"), "question": first("prompt", "question", "raw_question"), "caption": without_contrast(caption) if contrast else caption}
+    out = rows.select(*(["pos"] if original is not None else []), *[c.alias(n) for n, c in fields.items()])
+    if original is not None:
+        out = out.join(original.select("pos", F.col("image_id").cast("string").alias("_original")), "pos", "left").withColumn("image_id", F.coalesce("image_id", "_original"))
+    return out.select(*fields)
 
 
 class Registry:
@@ -148,3 +207,9 @@ class Registry:
 
     def __getitem__(self, name: str):
         return self.builders[name]
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.builders
+
+    def items(self):
+        return self.builders.items()
