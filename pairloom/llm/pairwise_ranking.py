@@ -4,23 +4,26 @@ The margin of two items is the log-odds of their outcomes (half a comparison add
 normalised by its precision v into weight v / (v + 1), so that pairs compared often count in full and rare ones
 little.  If item i has strength s_i, the margins are s_i - s_j: a skew-symmetric matrix of rank two
 whose leading singular plane holds the vector of ones and s.  The plane is found by a distributed
-skew Lanczos process, in which each step is one join and one grouped sum over the compared pairs;
-the strength vector is the direction of the plane that agrees best with the outcomes.  What the
+block Lanczos process: the sparse part of the matrix is applied to 1 and s a few times, each time by one join
+and one grouped sum over the compared pairs; all vectors are written as one table, and one grouped sum gives
+their products, from which the driver makes them orthonormal and finds the plane in their span.
+The strength vector is the direction of the plane that agrees best with the outcomes.  What the
 weights leave open (rare and absent pairs) is filled with the margins of the last result, a
 rank-two matrix that is never written out, and the process is repeated until it stands still.
 
-To the driver come only scalars: products of vectors, at most ``steps`` squared.
+To the driver come only scalars: products of 2 (``steps`` + 1) vectors.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.core.staging import ranked, stage
+from pairloom.core.staging import drop_stage, ranked, stage
 
 
 def name_key(c: Column) -> Column:
@@ -44,90 +47,113 @@ def pair_outcomes(reviews: DataFrame, items: DataFrame, *, key: str, a: str, b:
     return pairs.groupBy(F.least("ia", "ib").alias("i"), F.greatest("ia", "ib").alias("j")).agg(F.sum("n").alias("n"), F.sum(F.when(lower, -F.col("s")).otherwise(F.col("s"))).alias("net"))
 
 
-def _sum_products(cols: list[Column]) -> list[Column]:
-    return [F.coalesce(F.sum(c), F.lit(0.0)) for c in cols]
-
-
-def _plane(edges: DataFrame, state: DataFrame, size: int, steps: int, tolerance: float) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Lanczos on the margins: (table of item, s, q), and the two coordinates of the leading plane in q."""
-    sums = state.agg(F.sum("s"), F.sum(F.col("s") * F.col("s"))).first()
-    start = 1.0 / math.sqrt(size)
-    state = state.select("item", "s", F.array(F.lit(start)).alias("q"))
-    t: list[list[float]] = []
-    sum_q, sum_sq = [start * size], [start * sums[0]]
-    for k in range(steps):
-        moved = edges.join(state.select(F.col("item").alias("j"), F.col("q")[k].alias("x")), "j").groupBy(F.col("i").alias("item")).agg(F.sum(F.col("r") * F.col("x")).alias("rx"))
-        filled = F.coalesce("rx", F.lit(0.0)) + F.col("s") * F.lit(sum_q[k]) - F.lit(sum_sq[k])
-        state = stage(state.join(moved, "item", "left").select("item", "s", "q", filled.alias("w")), "lanczos")
-        w, s = F.col("w"), F.col("s")
-        got = state.agg(*_sum_products([w * w, w, s * w, *[w * F.col("q")[m] for m in range(k + 1)]])).first()
-        c = list(got[3:])
-        t.append(c)
-        rest = max(0.0, got[0] - sum(x * x for x in c))
-        beta = math.sqrt(rest)
-        if k + 1 == steps or rest <= 1e-18 * max(got[0], 1e-300):
-            break
-        if k >= 2:
-            y, theta = _leading(t)
-            if beta * abs(y[k]) <= tolerance * theta:
-                break
-        left = w - sum((F.lit(x) * F.col("q")[m] for m, x in enumerate(c)), F.lit(0.0))
-        state = state.select("item", "s", F.concat("q", F.array(left / F.lit(beta))).alias("q"))
-        sum_q.append((got[1] - sum(x * y for x, y in zip(c, sum_q, strict=True))) / beta)
-        sum_sq.append((got[2] - sum(x * y for x, y in zip(c, sum_sq, strict=True))) / beta)
-    y, _ = _leading(t)
-    return state.select("item", "s", "q"), y.real, y.imag
-
-
-def _leading(columns: list[list[float]]) -> tuple[np.ndarray, float]:
-    """The eigenvector of largest value of the small skew matrix whose columns' upper parts are given."""
-    n = len(columns)
-    upper = np.zeros((n, n))
-    for k, c in enumerate(columns):
-        upper[: k + 1, k] = c[: k + 1]
-    values, vectors = np.linalg.eig(np.triu(upper, 1) - np.triu(upper, 1).T)
-    at = int(np.argmax(values.imag))
-    return vectors[:, at], float(max(values.imag[at], 1e-300))
-
-
-def spectral_strengths(pairs: DataFrame, *, rounds: int = 10, steps: int = 5, tolerance: float = 1e-2, settled: float = 1e-3) -> DataFrame:
-    """(item, strength) of every item in ``pairs`` (i, j, n, net), in log-odds about a mean of 0.
-
-    An empty table gives an empty table.  Parts of the comparison graph that no comparison links
-    are placed about the common mean.  Strengths tie where outcomes are the same.
+def krylov_table(edges: DataFrame, state: DataFrame, steps: int) -> DataFrame:
+    """(item, d, h, u, vu), written once: u has each item's entries of 1, R 1, ..., R^steps 1, s, R s, ..., R^steps s.
+
+    R is the sparse part of the margins, of entries w (m - (s_i - s_j)) over ``edges`` (i, j, v, w, wm); vu has
+    the entries of V, of entries v, applied to all but the last power of both chains.  ``state`` is (item,
+    s, d, h).  Each step is one join and one grouped sum, for both chains together, and s_i is taken out of the sums.
+    """
+    x = state.select("item", "s", "d", "h", F.lit(1.0).alias("a"), F.col("s").alias("b"), *[F.array(c).alias(n) for c, n in ((F.lit(1.0), "ua"), (F.col("s"), "ub"))], *[F.array().cast("array<double>").alias(n) for n in ("va", "vb")])
+    for _ in range(steps):
+        met = edges.join(x.select(F.col("item").alias("j"), "a", "b", F.col("s").alias("sj")), "j")
+        sums = [F.sum(F.col(f) * F.col(c)).alias(f"{f}{c}_") for c in "ab" for f in ("wm", "w", "v")]
+        sums += [F.sum(F.col("w") * F.col("sj") * F.col(c)).alias(f"q{c}_") for c in "ab"]
+        x = x.drop("a", "b").join(met.groupBy(F.col("i").alias("item")).agg(*sums), "item", "left").fillna(0.0)
+        for c in "ab":
+            x = x.withColumn(c, F.col(f"wm{c}_") - F.col("s") * F.col(f"w{c}_") + F.col(f"q{c}_"))
+        x = x.select("item", "s", "d", "h", "a", "b", *[F.concat(f"{t}{c}", F.array(c if t == "u" else f"v{c}_")).alias(f"{t}{c}") for t in "uv" for c in "ab"])
+    return stage(x.select("item", "d", "h", F.concat("ua", "ub").alias("u"), F.concat("va", "vb").alias("vu")), "krylov")
+
+
+def gram(table: DataFrame, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u' u, u' (D - V) u over all but the last powers, u' h): summed in each batch, then over batches."""
+    size = 2 * (steps + 1)
+    inner = [k for k in range(size) if k not in (steps, size - 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size + len(inner) ** 2 + size)
+        for b in batches:
+            if b.num_rows:
+                d, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+                u, vu = (np.array(b.column(k).to_pylist()) for k in (2, 3))
+                total += np.concatenate([(u.T @ u).ravel(), (u[:, inner].T @ (d[:, None] * u[:, inner] - vu)).ravel(), u.T @ h])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "x"])
+
+    got = {r["k"]: r["x"] for r in table.select("d", "h", "u", "vu").mapInArrow(run, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()}
+    flat = np.array([got.get(k, 0.0) for k in range(size * size + len(inner) ** 2 + size)])
+    form = np.zeros((size, size))
+    form[np.ix_(inner, inner)] = flat[size * size : -size].reshape(len(inner), -1)
+    return flat[: size * size].reshape(size, size), (form + form.T) / 2, flat[-size:]
+
+
+def leading_plane(products: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two coefficient vectors over the columns of the table: the leading singular plane of R + s 1' - 1 s' in their span.
+
+    The last power of each chain only serves to apply R to the one before.
+    """
+    size = len(products)
+    ones, s = 0, steps + 1
+    inner = [k for k in range(size) if k not in (steps, size - 1)]
+    g = products[np.ix_(inner, inner)]
+    moved = products[np.ix_(inner, [k + 1 for k in inner])]
+    skew = moved + np.outer(products[inner, s], products[ones, inner]) - np.outer(products[inner, ones], products[s, inner])
+    # columns of very different lengths are brought to one before the span is made orthonormal
+    length = np.sqrt(np.maximum(np.diag(g), 1e-300))
+    values, vectors = np.linalg.eigh(g / np.outer(length, length))
+    kept = values > 1e-10 * values.max()
+    basis = vectors[:, kept] / np.sqrt(values[kept]) / length[:, None]
+    small = basis.T @ skew @ basis
+    roots, plane = np.linalg.eig((small - small.T) / 2)
+    y = basis @ plane[:, int(np.argmax(roots.imag))]
+    out = np.zeros((2, size))
+    out[0, inner], out[1, inner] = y.real, y.imag
+    return out[0], out[1]
+
+
+def spectral_strengths(pairs: DataFrame, *, steps: int = 3, settled: float = 1e-3, rounds: int = 500) -> DataFrame:
+    """(item, strength, converged) of every item in ``pairs`` (i, j, n, net), strengths in log-odds about a mean of 0.
+
+    The process ends when a round changes the strengths by at most ``settled`` of their length; ``converged``
+    tells whether it did, or was stopped after ``rounds`` rounds.  An empty table gives an empty table.  Parts of the
+    comparison graph that no comparison links are placed about the common mean.  Strengths tie where outcomes are the same.
     """
     win = (F.col("n") + F.col("net")) / 2 + 0.5
     p = win / (F.col("n") + 1)
-    both = pairs.select("i", "j", F.col("n").cast("double").alias("n"), F.ln(p / (1 - p)).alias("m"), (F.col("n") * p * (1 - p)).alias("v"))
-    edges = stage(both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "n", (-F.col("m")).alias("m"), "v")), "margins")
-    state = stage(edges.select(F.col("i").alias("item")).distinct().withColumn("s", F.lit(0.0)), "items")
-    size = state.count()
-    for _ in range(rounds if size > 1 else 0):
-        at_i, at_j = state.select(F.col("item").alias("i"), F.col("s").alias("si")), state.select(F.col("item").alias("j"), F.col("s").alias("sj"))
-        open_part = F.col("v") / (F.col("v") + 1) * (F.col("m") - (F.col("si") - F.col("sj")))
-        residual = stage(edges.join(at_i, "i").join(at_j, "j").select("i", "j", "m", "v", open_part.alias("r")), "residual")
-        basis, a, b = _plane(residual, state, size, steps, tolerance)
-
-        def combined(y: np.ndarray) -> Column:
-            return sum((F.lit(float(x)) * F.col("q")[k] for k, x in enumerate(y)), F.lit(0.0))
-
-        plane = stage(basis.select("item", "s", combined(a).alias("x"), combined(b).alias("y")), "plane")
-        # the direction (fx, fy) of the plane whose differences fit the outcomes best
-        ends = residual.join(plane.select(F.col("item").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi")), "i").join(plane.select(F.col("item").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")), "j")
-        dx, dy, v = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj"), F.col("v")
-        g = ends.agg(*_sum_products([v * dx * dx, v * dx * dy, v * dy * dy, v * dx * F.col("m"), v * dy * F.col("m")])).first()
-        fx, fy = np.linalg.lstsq(np.array([[g[0], g[1]], [g[1], g[2]]]), np.array([g[3], g[4]]), rcond=1e-12)[0]
-        new = F.lit(float(fx)) * F.col("x") + F.lit(float(fy)) * F.col("y")
-        mean = plane.agg(F.avg(new)).first()[0]
-        moved, spread = plane.agg(F.max(F.abs(new - F.lit(mean) - F.col("s"))), F.max(F.abs(new - F.lit(mean)))).first()
-        state = plane.select("item", (new - F.lit(mean)).alias("s"))
-        if moved <= settled * max(spread, 1e-300):
+    both = pairs.select("i", "j", F.ln(p / (1 - p)).alias("m"), (F.col("n") * p * (1 - p)).alias("v"))
+    both = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("m")).alias("m"), "v"))
+    w = F.col("v") / (F.col("v") + 1)
+    edges = stage(both.select("i", "j", "v", w.alias("w"), (w * F.col("m")).alias("wm"), (F.col("v") * F.col("m")).alias("vm")), "margins")
+    state = edges.groupBy(F.col("i").alias("item")).agg(F.lit(0.0).alias("s"), F.sum("v").alias("d"), F.sum("vm").alias("h"))
+    edges, before, converged = edges.drop("vm"), None, False
+    for _ in range(rounds):
+        table = krylov_table(edges, state, steps)
+        products, form, fit = gram(table, steps)
+        if products[0, 0] < 2:
+            state, converged = table.select("item", F.lit(0.0).alias("s")), True
+            break
+        a, b = leading_plane(products, steps)
+        # the direction of the plane whose differences fit the outcomes best: sums over pairs of v (x_i - x_j) (y_i - y_j) are x' (D - V) y
+        plane = np.stack([a, b])
+        new = np.linalg.lstsq(plane @ form @ plane.T, plane @ fit, rcond=1e-12)[0] @ plane
+        new[0] -= new @ products[0] / products[0, 0]
+        # lengths follow from the products, the strengths before being the column s
+        change = new.copy()
+        change[steps + 1] -= 1
+        moved, length = change @ products @ change, new @ products @ new
+        combined = sum((F.lit(float(x)) * F.col("u")[k] for k, x in enumerate(new) if x), F.lit(0.0))
+        state = table.select("item", combined.alias("s"), "d", "h")
+        if before is not None:
+            drop_stage(before)
+        before = table
+        if moved <= settled**2 * max(length, 1e-300):
+            converged = True
             break
-    return state.select("item", F.col("s").alias("strength"))
+    return state.select("item", F.col("s").alias("strength"), F.lit(converged).alias("converged"))
 
 
 def ranking(reviews: DataFrame, registry: DataFrame) -> DataFrame:
-    """(model_id, strength, rank_no) of every registered model that a valid comparison names.
+    """(model_id, strength, converged, rank_no) of every registered model that a valid comparison names.
 
     Equal strengths are ordered by model_id.
     """

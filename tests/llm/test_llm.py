@@ -36,6 +36,25 @@ def test_ranking_recovers_strengths(spark):
     assert pairwise_ranking.ranking(reviews.limit(0), registry).count() == 0
 
 
+def test_ranking_of_many_items_with_few_meetings(spark):
+    rng = np.random.default_rng(4)
+    n = 200
+    strength = rng.normal(0, 1.5, n)
+    rows = []
+    for i in range(n):
+        for j in {int(x) for x in rng.integers(0, n, 14)} | {(i + 1) % n}:
+            if i != j:
+                k = int(rng.integers(4, 60))
+                won = int(rng.binomial(k, 1 / (1 + np.exp(strength[j] - strength[i]))))
+                rows.append((min(i, j), max(i, j), k, (2 * won - k) * (1 if i < j else -1)))
+    pairs = spark.createDataFrame(rows, "i int, j int, n bigint, net bigint").groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("net").alias("net"))
+    got = pairwise_ranking.spectral_strengths(pairs).collect()
+    assert len(got) == n and all(r.converged for r in got)
+    mine = np.array([r.strength for r in sorted(got, key=lambda r: r.item)])
+    assert np.corrcoef(mine, strength)[0, 1] > 0.98
+    assert np.corrcoef(mine.argsort().argsort(), strength.argsort().argsort())[0, 1] > 0.97
+
+
 # --- p3, p4 -------------------------------------------------------------------------------------
 
 
