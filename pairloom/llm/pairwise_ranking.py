@@ -111,7 +111,7 @@ def leading_plane(products: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def spectral_strengths(pairs: DataFrame, *, steps: int = 3, settled: float = 1e-3, rounds: int = 500) -> DataFrame:
+def spectral_strengths(pairs: DataFrame, *, steps: int = 2, settled: float = 1e-3, rounds: int = 500) -> DataFrame:
     """(item, strength, converged) of every item in ``pairs`` (i, j, n, net), strengths in log-odds about a mean of 0.
 
     The process ends when a round changes the strengths by at most ``settled`` of their length; ``converged``

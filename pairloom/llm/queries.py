@@ -28,6 +28,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_texts(_answers(spark, folder)).select(F.col("id").alias("question_id"))
 
 
+def p3_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """The cut answers, what tells that each is no complete one, and an answer that goes on where it stops."""
+    return truncation.cut_texts(_answers(spark, folder)).select(F.col("id").alias("question_id"), "evidence", "copy_id")
+
+
 def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
     """For each source the number of its answers, how many are cut, and the share."""
     answers = _answers(spark, folder)
@@ -60,6 +65,12 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_join.similar_sets(sets, 0.8).classes().withColumnRenamed("id", "question_id")
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The groups of p5_found: each answer of 40 words or more, its class of exact copies, the number of classes linked to
+    that, and the least question_id of all it is linked with directly or through others."""
+    return _similar_answers(spark, folder).groups().withColumnRenamed("id", "question_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_automaton.encode_table(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -102,11 +113,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_strengths": p1_strengths,
     "p3_found": p3_found,
+    "p3_copies": p3_copies,
     "p3_sources": p3_sources,
     "p4_found": p4_found,
     "p4_totals": p4_totals,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
+    "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p6_token_totals": p6_token_totals,
     "p7_found": p7_found,
@@ -117,4 +130,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_profile": p8_profile,
 }
 
-SQL: dict[str, str] = {}
+_RUNS = """select question_id, r from (select question_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]))) r
+from (select question_id, regexp_extract_all(lower(raw_question || ' ' || answer), '[\\p{L}\\p{N}]+') w from (select distinct on (question_id) * from candidate_answers where question_id is not null)
+where len(regexp_extract_all(lower(answer), '[\\p{L}\\p{N}]+')) >= 40))"""
+
+SQL: dict[str, str] = {
+    "p5_found": f"with s as ({_RUNS}), n as (select question_id, count(*) n from s group by 1) select question_id_a, question_id_b from (select a.question_id question_id_a, b.question_id question_id_b, count(*) o from s a join s b using (r) where a.question_id < b.question_id group by 1, 2) join n a on a.question_id = question_id_a join n b on b.question_id = question_id_b where o >= 0.6 * (a.n + b.n - o) - 1e-9"
+}

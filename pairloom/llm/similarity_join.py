@@ -2,8 +2,10 @@
 
 1. Texts become sets of hashed runs of words.  Equal sets form one class; its answers are those of
    its representative, so only representatives go on.
-2. Elements get one global order, rare ones first, from a count table of fixed size: 2**20 cells,
-   each the number of occurrences that fall in it.  The order is a function of the element alone.
+2. Elements get one global order, rare ones first, by their numbers of occurrences.  These come
+   from a table of 2**21 cells, each the number of occurrences that fall in it, which is
+   broadcast; where the elements would crowd it, each is counted by itself and its number joined to it.
+   The order is a function of the element alone.
 3. Sets at least t similar share an element within their prefixes.  The inverted list of each
    prefix element is kept in blocks sorted by set size.  Pairs of blocks are skipped whole if
    their sizes, or the positions of the element in them, rule out an overlap large enough; the
@@ -12,7 +14,7 @@
 4. Overlaps are counted exactly.  A set that differs little from a representative already compared
    (its anchor) takes the anchor's overlap, plus what it gained and minus what it lost.
 
-A list longer than ``list_size`` by the count table is split: its sets fall in s parts, and each
+A list longer than ``list_size`` by those numbers is split: its sets fall in s parts, and each
 pair of parts is a list of its own.  So one element, and one group of copies, is spread over many tasks.
 """
 
@@ -26,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.core.components import connected
 from pairloom.core.staging import stage
 
-CELL_BITS = 20
+#: Cells of the count table, 16 MB, and the share of them in use from which elements are counted one by one.
+CELL_BITS, CROWDED = 21, 0.6
 #: Columns of a posting: list, part, set, its size, the element's position, and the set's sketch.
 POSTING = ["list", "part", "id", "size", "pos", "s0", "s1", "s2", "s3"]
 _BLOCK = 256
@@ -46,23 +50,41 @@ def word_runs(w: Column, size: int) -> Column:
     return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _postings(reps: DataFrame, counts: np.ndarray, threshold: float, list_size: int) -> DataFrame:
+def _cell_counts(reps: DataFrame) -> np.ndarray | None:
+    """Occurrences in each cell of the count table; None where too many cells are in use."""
+    cells = reps.select(F.explode("tokens").alias("t")).groupBy(F.shiftrightunsigned("t", 64 - CELL_BITS).cast("int").alias("cell")).agg(F.count("*").alias("n")).toArrow()
+    if cells.num_rows > CROWDED * (1 << CELL_BITS):
+        return None
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return counts
+
+
+def _with_frequencies(reps: DataFrame) -> DataFrame:
+    """(id, tokens, freq): tokens with their own numbers of occurrences, by a join on the element."""
+    each = reps.select("id", F.explode("tokens").alias("t"))
+    counted = each.join(each.groupBy("t").agg(F.count("*").alias("n")), "t").groupBy("id").agg(F.collect_list(F.struct("t", "n")).alias("x"))
+    return counted.select("id", F.col("x.t").alias("tokens"), F.col("x.n").alias("freq"))
+
+
+def _postings(reps: DataFrame, counts: np.ndarray | None, threshold: float, list_size: int) -> DataFrame:
     """(list, part, id, size, pos, s0 to s3) for the prefix elements of every set."""
-    shared = reps.sparkSession.sparkContext.broadcast(counts)
+    shared = None if counts is None else reps.sparkSession.sparkContext.broadcast(counts)
+    source = reps.select("id", "tokens") if shared else _with_frequencies(reps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts = shared.value if shared else None
         for b in batches:
             out: list[list[np.ndarray]] = []
-            for rep, tokens in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for k, (rep, tokens) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 x = np.asarray(tokens.values, np.int64).view(np.uint64)
                 n = len(x)
-                freq = counts[x >> np.uint64(64 - CELL_BITS)]
+                freq = counts[x >> np.uint64(64 - CELL_BITS)] if shared else np.asarray(b.column(2)[k].values, np.int64)
                 order = np.lexsort((x, freq))[: n - math.ceil(threshold * n - 1e-9) + 1]
                 bits = np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1
                 sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
                 x, freq, pos = x[order], freq[order], np.arange(len(order))
-                parts = np.maximum(1, -(-freq.astype(np.int64) // list_size))
+                parts = np.maximum(1, -(-freq // list_size))
                 own = ((rep * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 33) % parts
                 every = np.repeat(np.arange(len(x)), parts)
                 other = np.arange(len(every)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -76,7 +98,7 @@ def _postings(reps: DataFrame, counts: np.ndarray, threshold: float, list_size:
                 kinds = [np.int64, np.int8, np.int64, np.int32, np.int32, *[np.int64] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=POSTING)
 
-    return reps.select("id", "tokens").mapInArrow(run, "list bigint, part tinyint, id bigint, size int, pos int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    return source.mapInArrow(run, "list bigint, part tinyint, id bigint, size int, pos int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
 
 
 def _pairs_of(rows: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -195,17 +217,20 @@ class SimilarSets:
         Copies of one representative are paired in parts of about ``block`` ids, so no task holds a
         whole group; the result itself has all pairs.
         """
-        parts = self.members.groupBy("rep").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-        m = self.members.join(parts, "rep").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-        ends = self.links.select(F.col("a").alias("ra"), F.col("b").alias("rb"))
-        same = parts.where("parts > 0").select(F.col("rep").alias("ra"), F.col("rep").alias("rb"))
-        ends = ends.unionByName(same)
-        sides = m.select(F.col("rep").alias("ra"), F.col("id").alias("x"), F.col("part").alias("pa"))
-        cells = ends.join(parts.select(F.col("rep").alias("ra"), F.col("parts").alias("na")), "ra").join(parts.select(F.col("rep").alias("rb"), F.col("parts").alias("nb")), "rb")
+        sizes = self.members.groupBy("rep").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+        sides = self.members.join(sizes.select("rep", "parts"), "rep").select(F.col("rep").alias("ra"), F.col("id").alias("x"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("pa"))
+        ends = self.links.select(F.col("a").alias("ra"), F.col("b").alias("rb")).unionByName(sizes.where("n > 1").select(F.col("rep").alias("ra"), F.col("rep").alias("rb")))
+        cells = ends.join(sizes.select(F.col("rep").alias("ra"), F.col("parts").alias("na")), "ra").join(sizes.select(F.col("rep").alias("rb"), F.col("parts").alias("nb")), "rb")
         cells = cells.select("ra", "rb", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("pa"), "nb").select("ra", "rb", "pa", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("pb"))
+        # copies meet once: parts in order, and within a part ids in order
+        cells = cells.where("ra <> rb or pa <= pb")
         full = cells.join(sides, ["ra", "pa"]).join(sides.select(F.col("ra").alias("rb"), F.col("pa").alias("pb"), F.col("x").alias("y")), ["rb", "pb"])
-        full = full.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        return full.distinct()
+        return full.where("ra <> rb or pa <> pb or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def groups(self) -> DataFrame:
+        """(id, group_id, class_id, n_links): classes with the least id of all that are linked with each other, directly or through others."""
+        named = connected(self.links.select("a", "b")).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+        return self.classes().join(named, "class_id", "left").select("id", F.coalesce("group_id", "class_id").alias("group_id"), "class_id", "n_links")
 
     def classes(self) -> DataFrame:
         """(id, class_id, n_links): the representative of each row's exact copies, and its linked representatives."""
@@ -221,18 +246,17 @@ def similar_sets(sets: DataFrame, threshold: float, *, list_size: int = 4096, cl
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    spark = sets.sparkSession
     # sort_array compares natively; the filter and the hash read what was written, or the sets would be made three times
     sets = stage(sets.where(F.col("id").isNotNull()).select("id", F.sort_array(F.array_distinct("tokens")).alias("tokens")), "sets")
-    sets = sets.where(F.size("tokens") > 0).withColumn("set", F.xxhash64("tokens"))
-    first = sets.groupBy("set", F.size("tokens").alias("n")).agg(F.min("id").alias("rep"))
-    members = stage(sets.select("id", "set", F.size("tokens").alias("n")).join(first, ["set", "n"]).select("id", "rep"), "members")
+    # sets are one if their sizes and two hashes agree, 128 bits of which the second is over salted elements
+    same = [F.size("tokens").alias("n"), F.xxhash64("tokens").alias("one"), F.xxhash64(F.lit(0x5DEECE66D), "tokens", F.size("tokens")).alias("two")]
+    sets = sets.where(F.size("tokens") > 0)
+    keyed = sets.select("id", *same)
+    first = keyed.groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
+    members = stage(keyed.join(first, ["n", "one", "two"]).select("id", "rep"), "members")
     reps = sets.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "tokens")
     reps = stage(reps, "reps")
-    cells = reps.select(F.explode("tokens").alias("t")).groupBy(F.shiftrightunsigned("t", 64 - CELL_BITS).cast("int").alias("cell")).agg(F.count("*").cast("int").alias("n")).toArrow()
-    counts = np.zeros(1 << CELL_BITS, np.int32)
-    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    candidates = stage(_candidates(_postings(reps, counts, threshold, list_size), threshold), "candidates")
+    candidates = stage(_candidates(_postings(reps, _cell_counts(reps), threshold, list_size), threshold), "candidates")
     sizes = reps.select("id", F.size("tokens").alias("n"))
     found = _overlaps(candidates, reps, close).join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     jaccard = F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
