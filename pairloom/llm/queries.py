@@ -131,7 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _RUNS = """select question_id, r from (select question_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]))) r
-from (select question_id, regexp_extract_all(lower(raw_question || ' ' || answer), '[\\p{L}\\p{N}]+') w from (select distinct on (question_id) * from candidate_answers where question_id is not null)
+from (select question_id, regexp_extract_all(lower(coalesce(raw_question, '') || ' ' || answer), '[\\p{L}\\p{N}]+') w from (select distinct on (question_id) * from candidate_answers where question_id is not null)
 where len(regexp_extract_all(lower(answer), '[\\p{L}\\p{N}]+')) >= 40))"""
 
 SQL: dict[str, str] = {
