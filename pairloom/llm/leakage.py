@@ -5,7 +5,9 @@ block is broadcast and met with every document in one narrow pass, so there is n
 limit on the number of items or documents.  In a worker, running Karp-Rabin hashes of
 ``least`` words of a whole batch of documents are looked up among the block's hashes; these shared
 seeds are extended to maximal matches; and the longest ones that overlap no tile on either side
-become tiles, until none of ``least`` words is left.  Passages in another order thus count in full.
+become tiles, until none is left.  Passages in another order thus count in full.  A document holds an item
+if its longest tile has ``least`` words; where tiles may be shorter, also if those together cover a
+given share of the item, which finds passages taken apart and reordered.
 """
 
 from __future__ import annotations
@@ -110,7 +112,7 @@ class Block:
                 yield d, item, covered, got[0][2], covered / len(ids)
 
 
-def _blocks(items: DataFrame, item: str, answer: str, least: int, block_words: int) -> Iterator[Block]:
+def _blocks(items: DataFrame, item: str, answer: str, least: int, tile: int, block_words: int) -> Iterator[Block]:
     rows, size = [], 0
     for i, text in items.where(F.col(item).isNotNull()).select(item, answer).distinct().toLocalIterator():
         words = plain_words(text)
@@ -119,34 +121,37 @@ def _blocks(items: DataFrame, item: str, answer: str, least: int, block_words: i
         rows.append((i, words))
         size += len(words)
         if size >= block_words:
-            yield Block(rows, least)
+            yield Block(rows, tile)
             rows, size = [], 0
     if rows:
-        yield Block(rows, least)
+        yield Block(rows, tile)
 
 
-def leaked(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", answer: str = "gt_answer", least: int = 12, block_words: int = 2_000_000) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", answer: str = "gt_answer", least: int = 12, tile: int | None = None, least_coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
     """(doc, item, n_words, longest, coverage) for each document that holds ``least`` consecutive words of an item.
 
+    With ``tile``, tiles have that many words or more, and a document also counts if they cover ``least_coverage`` of the item.
+
     n_words is the number of words in tiles, coverage its share of the item's words.  Null and
     empty texts and items shorter than ``least`` words are in no result; null ids of items are
     dropped.  Rows that repeat a document and item give one row, that of the largest coverage;
     this is the only exchange, over what was found.
     """
     spark = documents.sparkSession
+    size = least if tile is None else min(tile, least)
     types = {n: t.dataType.simpleString() for f, n in ((documents, doc), (items, item)) for t in [f.schema[n]]}
     schema = f"doc {types[doc]}, item {types[item]}, n_words int, longest int, coverage double"
     kind = pa.schema([("doc", pa.int64() if types[doc] == "bigint" else pa.int32() if types[doc] == "int" else pa.string()), ("item", pa.int64() if types[item] == "bigint" else pa.int32() if types[item] == "int" else pa.string()), ("n_words", pa.int32()), ("longest", pa.int32()), ("coverage", pa.float64())])
     rows = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     out = spark.createDataFrame([], schema)
-    for block in _blocks(items, item, answer, least, block_words):
+    for block in _blocks(items, item, answer, least, size, block_words):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 512):
                     part = b.slice(at, 512)
-                    found = list(shared.value.found(part.column(1).to_pylist()))
+                    found = [x for x in shared.value.found(part.column(1).to_pylist()) if x[3] >= least or (tile is not None and x[4] >= least_coverage)]
                     if found:
                         ids = part.column(0).to_pylist()
                         columns = zip(*((ids[d], *rest) for d, *rest in found), strict=True)

@@ -90,6 +90,11 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
 
 
+def p7_reordered(spark: SparkSession, folder: str) -> DataFrame:
+    """As p7_leaks, with tiles of six words or more: also documents whose tiles cover half of an item, in whatever order."""
+    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "heldout_items"), tile=6)
+
+
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     """For each leaked item the number of documents that hold it and the largest share of it that one holds."""
     return p7_leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("coverage").alias("coverage"))
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_token_totals": p6_token_totals,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p7_reordered": p7_reordered,
     "p7_items": p7_items,
     "p8_found": p8_found,
     "p8_levels": p8_levels,

@@ -307,6 +307,16 @@ def test_leaks_equal_brute_force(spark):
     assert next(r.coverage for r in got if (r.doc_id, r.item_id) == (98, 0)) == 1.0  # both halves, in another order
 
 
+def test_passages_in_short_reordered_pieces(spark):
+    words = [f"w{k}" for k in range(40)]
+    pieces = [words[k : k + 8] for k in range(0, 40, 8)]
+    shuffled = [w for k in (3, 0, 4, 2, 1) for w in [*pieces[k], "zz", "yy"]]
+    documents = spark.createDataFrame([(1, " ".join(shuffled)), (2, " ".join(words[:9])), (3, " ".join(words[:13]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, gt_answer string")
+    assert {r.doc_id for r in leakage.leaked(documents, items).collect()} == {3}
+    assert {r.doc_id: (r.longest, r.coverage) for r in leakage.leaked(documents, items, tile=6).collect()} == {1: (8, 1.0), 3: (13, 13 / 40)}
+
+
 # --- p8 -----------------------------------------------------------------------------------------
 
 
