@@ -63,6 +63,9 @@ REFUSAL_CUES = [
     r"(?:申し訳|すみません|ごめんなさい|残念ながら).*(?:できません|できかねます|お答え|ません)|(?:お答え|お手伝い|説明|対応)(?:することは|は)?でき(?:ません|かねます)",
     r"(?:죄송|미안|유감).*(?:없습니다|어렵습니다|없어요|못합니다)|(?:답변|도와|도움|설명).*(?:수 없습니다|수 없어요)",
 ]
+#: Words of which every Latin cue has one; only openings that have one, or characters from ``_OTHER_SCRIPTS`` on, are tried for cues.
+CUE_WORDS = frozenset("able afraid ai apologise apologize assistant beyond dispiace désolé désolée entschuldigung guidelines i ich il je language leid leider malheureusement no non não lamentablemente infelizmente outside policies policy possible purtroppo regrettably request rules sorry spiacente unable unfortunately we".split())
+_OTHER_SCRIPTS = "\u0400"
 #: Words by which a copied question may be introduced or followed.
 FRAMES = frozenset("a answer answered asked assistant bot human prompt q question said system the user you human's".split())
 
@@ -70,6 +73,10 @@ _HAN = "⺀-⻿⼀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿\U00020000-\U0003
 _cue = re.compile("|".join(f"(?:{c})" for c in REFUSAL_CUES), re.DOTALL).search
 _special = re.compile(r"<\|[^<>|]*\|>|</?s>|\[/?(?:INST|PAD|EOS|BOS)\]")
 _token = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+").findall
+_tokens = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+").finditer
+_any_token = re.compile(r"[^\W_]").search
+#: Words, line ends and the marks that end a sentence, in one pass.
+_parts = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+|\n|[.!?]+(?=[\s\"'”)]|\Z)|[。！？]").findall
 _unseen = regex.compile(r"\p{Cf}")
 _first = re.compile(r"\A[^\n]*?(?:[.!?]+(?=[\s\"'”)]|\Z)|[。！？]|(?=\n|\Z))").match
 _detail = re.compile(r"\bbut (?!i\b|i'm|can't|cannot|unable)(?:the|it|there|you can|what)\b").search
@@ -83,7 +90,7 @@ _courtesy = re.compile(
 ).search
 #: Words of a run, and of a sentence that is looked for further down.
 RUN = 5
-#: Members of a band, rejected by its least one, up to which all their pairs are compared at once; four times as many after the split.
+#: Members of a band, rejected by its least one, up to which all their pairs are compared at once; 64 times as many after the split.
 DIRECT = 64
 #: Repetitions of what a hot opening is joined with.
 SALTS = 16
@@ -106,41 +113,57 @@ def examine(question: str | None, answer: str | None) -> dict | None:
     later: hashes of the sentences of ``RUN`` words or more in it; head: the question's first two
     words; echo: share of the opening's words that the question has; copies: whether the answer copies the question.
     """
-    text = answer or ""
-    text = _unseen.sub("", _special.sub(" ", without_markup(text))).strip()
-    words = _token(text.lower())
-    if not words:
+    text = without_markup(answer or "")
+    if "<" in text or "[" in text:
+        text = _special.sub(" ", text)
+    if not text.isascii():
+        text = _unseen.sub("", text)
+    text = text.strip()
+    lower = text.lower()
+    if not _any_token(lower):
         return None
     first = _first(text)
     low = _normal(first[0].strip())
     asked = _token((question or "").lower())
     own, copies = set(asked), False
-    if asked:
-        said = [w for w in words if w not in FRAMES or w in own]
-        copies = bool(said) and set(said) <= own and len(set(said)) >= 0.8 * len(own) and _in_order(asked, said)
+    if asked and all(m[0] in own or m[0] in FRAMES for m in _tokens(lower)):
+        said = [w for w in _token(lower) if w not in FRAMES or w in own]
+        copies = bool(said) and len(set(said)) >= 0.8 * len(own) and _in_order(asked, said)
     opening, rest = _token(low), text[first.end() :]
-    later = [_hash(w) for m in _sentence(rest) if len(w := _token(_normal(m[0]))) >= RUN]
+    later, words = [], []
+    for p in _parts(rest.lower()):
+        if p[0].isalnum():
+            words.append(p)
+        elif words:
+            if len(words) >= RUN:
+                later.append(_hash(words))
+            words = []
+    if len(words) >= RUN:
+        later.append(_hash(words))
     echo = sum(w in own for w in opening) / max(1, len(opening))
-    return {"text": text, "opening": " ".join(opening), "half": _hash(opening[: max(1, len(opening) // 2)]), "place": _hash(opening), "declines": _declines(low), "rest": rest, "later": later, "head": " ".join(asked[:2]), "echo": echo, "copies": copies}
+    return {"text": text, "opening": " ".join(opening), "half": _hash(opening[: max(1, len(opening) // 2)]), "place": _hash(opening), "declines": _declines(low, opening), "rest": rest, "later": later, "head": " ".join(asked[:2]), "echo": echo, "copies": copies}
 
 
 def other_language(texts: list[str], questions: list[str], known: languages.Languages) -> list[bool]:
     """Whether at least half of each text is in a language that is neither its question's nor named in it."""
     out = []
-    for shares, language, question in zip(known.shares(texts), known.main(questions), questions, strict=True):
-        wanted = {language, None} | languages.requested_languages(question)
+    distinct = list(dict.fromkeys(questions))
+    asked = {q: (code, {code, None} | languages.requested_languages(q)) for q, code in zip(distinct, known.main(distinct), strict=True)}
+    for shares, question in zip(known.shares(texts), questions, strict=True):
+        language, wanted = asked[question]
         out.append(bool(language) and language != languages.FOREIGN and sum(v for k, v in shares.items() if k not in wanted) >= 0.5)
     return out
 
 
-def _declines(low: str) -> bool:
-    return bool(_cue(low)) and not _detail(low)
+def _declines(low: str, words: list[str]) -> bool:
+    may = not CUE_WORDS.isdisjoint(words) or (bool(low) and max(low) >= _OTHER_SCRIPTS)
+    return may and bool(_cue(low)) and not _detail(low)
 
 
 def other_content(rest: str) -> list[str]:
     """The distinct sentences, as words, that neither decline nor are a courtesy."""
     said = (_normal(m[0]) for m in _sentence(rest))
-    return list(dict.fromkeys(" ".join(w) for s in said if (w := _token(s)) and not _courtesy(s.strip()) and not _declines(s)))
+    return list(dict.fromkeys(" ".join(w) for s in said if (w := _token(s)) and not _courtesy(s.strip()) and not _declines(s, w)))
 
 
 def _in_order(asked: list[str], said: list[str]) -> bool:
@@ -176,8 +199,8 @@ def opening_clusters(openings: DataFrame, *, run: int = RUN, similarity: float =
     """(opening, cluster) of the distinct openings; an opening shorter than ``run`` words stands for itself.
 
     The members of a band are compared with its least member; those it accepts are linked through
-    it.  Those it rejects are compared with each other, after a split by the runs of their prefixes and in rounds
-    with a new least member where they are many, and with the accepted ones that can be similar: as 1 - similarity is a metric, only
+    it.  Those it rejects are compared with each other, where they are many after a split by the rarest runs they share
+    (and only in what is larger still in rounds with a new least member), and with the accepted ones that can be similar: as 1 - similarity is a metric, only
     members rejected at 2 * ``similarity`` - 1 or more have such.  So no similar pair of a band is
     lost, and a band of copies in all but a few words gives one link a member.  The probability that
     two openings of similarity 0.8 share no band of 16 is 2e-4.  A cluster is a connected component of the
@@ -203,12 +226,27 @@ def opening_clusters(openings: DataFrame, *, run: int = RUN, similarity: float =
         return both.select("o", "head", (shared / (F.size("runs") + F.size("other") - shared)).alias("alike"))
 
     def refined(large: DataFrame) -> DataFrame:
-        """The same members in smaller bands, one for each of the runs of a member's prefix: of its rarest runs, so many that similar sets share one."""
+        """The same members in one band for each few runs that a similar set shares.
+
+        In an order of all runs, rarest first, the first ``k`` runs that two similar sets share are among the first
+        size - ceil(similarity * size) + k of each.  Sets of up to 14 runs meet by three, up to 29 by two, larger ones and those
+        that may share fewer than three by one; the smaller of a pair also has the keys of the class above.
+        """
         members = sets.join(large.select("o").distinct(), "o", "left_semi")
         counts = members.select(F.explode("runs").alias("r")).groupBy("r").agg(F.count("*").alias("n"))
-        rare = members.select("o", F.explode("runs").alias("r")).join(counts, "r").groupBy("o").agg(F.array_sort(F.collect_list(F.struct("n", "r"))).alias("x"))
-        prefix = F.slice("x", F.lit(1), F.size("x") - F.ceil(F.size("x") * F.lit(similarity) - 1e-9).cast("int") + 1)
-        return large.join(rare.select("o", F.explode(prefix).alias("e")), "o").select("band", F.xxhash64("h", "e.r").alias("h"), "o")
+        rare = members.select("o", F.explode("runs").alias("r")).join(counts, "r").groupBy("o").agg(F.array_sort(F.collect_list(F.struct("n", "r"))).alias("x")).select("o", F.col("x.r").alias("x"))
+        size, least = F.size("x"), int(int(2 / similarity) / similarity)
+        ones = "transform(p, a -> xxhash64(1, a))"
+        twos = "flatten(transform(p, (a, i) -> transform(slice(p, i + 2, size(p)), b -> xxhash64(2, a, b))))"
+        threes = "flatten(transform(p, (a, i) -> flatten(transform(slice(p, i + 2, size(p)), (b, j) -> transform(slice(p, i + j + 3, size(p)), c -> xxhash64(3, a, b, c))))))"
+        classes = [
+            (1, ones, (size <= least) | (size >= int(similarity * 30))),
+            (2, twos, (size > least) & size.between(int(similarity * 15), 29)),
+            (3, threes, (size > int(2 / similarity)) & (size <= 14)),
+        ]
+        prefix = lambda k: F.slice("x", F.lit(1), size - F.ceil(size * F.lit(similarity) - 1e-9).cast("int") + k)
+        keys = reduce(DataFrame.unionByName, [rare.where(which).select("o", prefix(k).alias("p")).select("o", F.explode(F.expr(subsets)).alias("h")) for k, subsets, which in classes])
+        return keys.select(F.lit(-1).alias("band"), "h", "o").distinct()
 
     found: list[DataFrame] = []
     accepted, least_alike = F.col("alike") >= F.lit(similarity) - 1e-9, 2 * similarity - 1 - 1e-9
@@ -225,7 +263,7 @@ def opening_clusters(openings: DataFrame, *, run: int = RUN, similarity: float =
             break
         taken = judged.where(accepted).select("band", "h", F.col("o").alias("y"), F.col("alike").alias("near"))
         across = rejected.where(F.col("alike") >= least_alike).join(taken, ["band", "h"]).where(F.col("near") <= F.col("alike") + (1 - similarity) + 1e-9).select("o", F.col("y").alias("head"))
-        most_direct = DIRECT if rounds == 0 else 4 * DIRECT
+        most_direct = DIRECT if rounds == 0 else 64 * DIRECT
         few = rejected.join(sizes.where(F.col("n") <= most_direct), ["band", "h"]).select("band", "h", "o")
         within = few.join(few.withColumnRenamed("o", "head"), ["band", "h"]).where("o > head").select("o", "head")
         more = across.unionByName(within).select(F.greatest("o", "head").alias("o"), F.least("o", "head").alias("head")).distinct()

@@ -23,8 +23,9 @@ word count every row, as copies tell a label.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import regex
@@ -103,8 +104,9 @@ def windows(segments: list[tuple[list[str], bool]]) -> Iterator[str]:
     """Windows of the segments; those that reach a segment's end without a full stop are left out."""
     for words, closed in segments:
         line = ["^", *words, "."] if closed else ["^", *words[:-1]]
-        for i in range(len(line) - (1 if closed else WINDOW - 1)):
-            yield " ".join(line[i : i + WINDOW])
+        yield from map(" ".join, zip(*[line[k:] for k in range(WINDOW)]))  # noqa: B905
+        if closed:
+            yield from (" ".join(line[i:]) for i in range(max(0, len(line) - WINDOW + 1), len(line) - 1))
 
 
 def count_openings(out: Counter, segments: list[tuple[list[str], bool]], copies: int) -> None:
@@ -132,31 +134,33 @@ def _parsed(distinct: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total: Counter = Counter()
-            seen: dict[str, list[int]] = {}
+            first: dict[str, int] = {}
+            final: dict[str, int] = {}
             rows: list[tuple] = []
             at: list[tuple[int, int]] = []
             for i, (text, copies) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 bare, marked = trimmed(text)
                 segments = scan(bare)
                 count_openings(total, segments, copies)
-                for w in windows(segments):
-                    if w in seen:
-                        seen[w][1] = i
-                    else:
-                        seen[w] = [i, i]
+                own = list(windows(segments))
+                deque(map(first.setdefault, own, repeat(i)), 0)
+                final.update(zip(own, repeat(i)))  # noqa: B905
                 if t := tail(bare, marked, segments):
                     sure, after, long, opening, *rest = t
                     rows.append(("t", opening, None, sure, after, long, *rest, text))
                     at.append((i, i))
             rows += [(k, x, n, *[None] * 8) for (k, x), n in total.items()]
             at += [(None, None)] * len(total)
-            rows += [("w", x, *[None] * 9) for x in seen]
-            at += seen.values()
+            ids = b.column(2)
             if rows:
-                ids = b.column(2)
                 low, high = (ids.take(pa.array([p[k] for p in at], pa.int32())) for k in (0, 1))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, low, high], names=names)
+            if first:
+                # both have the windows in the order they were first met
+                low, high = (ids.take(pa.array(list(x.values()), pa.int32())) for x in (first, final))
+                columns = [pa.array(["w"] * len(first), types[0]), pa.array(list(first), types[1]), *[pa.nulls(len(first), t) for t in types[2:]]]
+                yield pa.RecordBatch.from_arrays([*columns, low, high], names=names)
 
     return distinct.select("text", "copies", "id").mapInArrow(run, f"{_PARTS}, low {kind}, high {kind}")
 

@@ -176,6 +176,34 @@ def test_clusters_link_all_similar_members_of_a_band(spark, monkeypatch, direct)
     assert got == want and len(set(want.values())) > 1
 
 
+def test_large_bands_are_split_without_rounds(spark, monkeypatch):
+    # 1,350 openings of one band: dissimilar ones share single runs, similar ones all but a few; a round for each few of them took hundreds
+    rng = random.Random(4)
+    words, openings = [f"w{k}" for k in range(12)], set()
+    for k in range(450):
+        a = rng.choices(words, k=rng.choice([5, 7, 9, 13, 20, 31])) + [f"x{k}"]
+        openings |= {" ".join(a), " ".join([*a, "y"]), " ".join([*a, "y", "z"])}
+    runs = {o: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for o in openings for w in [o.split()]}
+    parent = {o: o for o in openings}
+
+    def root(o):
+        while parent[o] != o:
+            o = parent[o]
+        return o
+
+    for a in sorted(openings):
+        for b in openings:
+            if a < b and len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]) - 1e-9 and root(a) != root(b):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    rounds, stage = [], pair_defects.stage
+    monkeypatch.setattr(pair_defects, "stage", lambda df, name: (rounds.append(name), stage(df, name))[1])
+    df = spark.createDataFrame([(o,) for o in openings], "opening string")
+    got = {r.opening: r.cluster for r in pair_defects.opening_clusters(df, bands=1, rows=0).collect()}
+    assert got == {o: root(o) for o in openings} and len(set(got.values())) < len(openings)
+    assert rounds.count("judged") == 2
+
+
 # --- p5 -----------------------------------------------------------------------------------------
 
 
