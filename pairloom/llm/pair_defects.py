@@ -308,19 +308,19 @@ def refusing_openings(seen: DataFrame, *, least_prompts: int = 3, template_promp
     return stage(clusters.join(recurring, "cluster", "left").where("recurs or declines").select("opening", "cluster"), "refusing")
 
 
-def defects(pairs: DataFrame, *, least_prompts: int = 3, template_prompts: int = 5, fit_rows: int = 4000) -> DataFrame:
+def defects(pairs: DataFrame, *, least_prompts: int = 3, template_prompts: int = 5) -> DataFrame:
     """(pair_id, side, defect) of each defective side of (pair_id, question, chosen, rejected); at most one a side.
 
     In order: empty, copies_question, refusal, other_language, truncated.  A pair_id counts once
     (rows with a null one are dropped); a null question allows only empty, refusal and truncated.
     Extra columns are ignored, and an empty table gives an empty table.  The character models of
-    languages are trained on the questions and answers of ``fit_rows`` sides, chosen by a hash of their ids.
+    languages are trained on all questions and answers.
     """
     once = pairs.where(F.col("pair_id").isNotNull()).select("pair_id", "question", *SIDES).dropDuplicates(["pair_id"])
     sides = once.select("pair_id", "question", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("answer")) for s in SIDES])).alias("s"))
     sides = stage(sides.select(F.struct("pair_id", "s.side").alias("id"), "question", F.col("s.answer").alias("text")), "sides")
-    sample = sides.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("question", "text").toLocalIterator()
-    known = sides.sparkSession.sparkContext.broadcast(languages.Languages([without_markup(x) for r in sample for x in r if x]))
+    texts = sides.select("text").unionByName(sides.where("id.side = 'chosen'").select(F.col("question").alias("text")))
+    known = sides.sparkSession.sparkContext.broadcast(languages.fitted(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["own", "foreign", "opening", "half", "place", "declines", "rest", "later", "head", "echo"]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe_automaton, leakage, pair_defects, pairwise_ranking, queries, reading_level, similarity_join, truncation
+from pairloom.llm import bpe_automaton, languages, leakage, pair_defects, pairwise_ranking, queries, reading_level, similarity_join, truncation
 from pairloom.llm.plain_words import plain_words
 
 SMALL = "/root/testdata/sf0.01"
@@ -204,6 +204,25 @@ def test_large_bands_are_split_without_rounds(spark, monkeypatch):
     assert rounds.count("judged") == 2
 
 
+def test_languages_are_learnt_from_the_whole_corpus(spark):
+    polish = "na tym zdjęciu widać czerwony czajnik obok ściany"
+    texts = ["The red kettle stands near the market wall."] * 50 + ["Ein alter Mann sitzt auf der Bank und liest die Zeitung."]
+    for order in (texts, texts[::-1]):
+        known = languages.fitted(spark.createDataFrame([(t,) for t in order], "text string").repartition(3), 7)
+        want = np.bincount(languages._Flat(["Ein alter Mann sitzt auf der Bank und liest die Zeitung"]).trigrams() + 1, minlength=64**3 + 1)[1:]
+        assert np.array_equal(known.tables[0], languages.Languages._trained("de", want))  # the one German text counts, wherever it stands
+        assert known.main(["Eine alte Frau liest die Zeitung.", "The old kettle stands here.", polish])[:2] == ["de", "en"]
+    assert languages.fitted(spark.createDataFrame([], "text string")).main(["The kettle is on the wall."]) == ["en"]
+
+
+def test_a_piece_without_a_leading_language_teaches_none():
+    known = languages.Languages(np.zeros((6, 64**3), int))
+    flat = languages._Flat(["- umbrella", "Das ist ein Haus und es ist sehr alt"])
+    assert known.labels(flat, np.array([-1, 1])).tolist() == [known._scores(flat)[0].argmin(), 1]
+    known.tables = known.tables[:1] * 6
+    assert known.labels(flat, np.array([-1, 1])).tolist() == [-1, 1]
+
+
 # --- p5 -----------------------------------------------------------------------------------------
 
 
